@@ -33,7 +33,7 @@ keyed AS (SELECT * FROM counted LEFT JOIN firsts USING (doc_id))"""
 
 
 def _docs(s, d):
-    return T.table(s, d, "documents").select("doc_id", "text")
+    return T.documents(s, d)
 
 
 @query("t1_clean_text", "doc_id long, cleaned string", f"WITH {CLEAN} SELECT doc_id, t AS cleaned FROM cleaned")

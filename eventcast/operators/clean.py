@@ -51,13 +51,26 @@ def handle_missing_values(df: DataFrame) -> DataFrame:
 
 def parse_number(value: Column) -> Column:
     """Number or null; text that is no number and NaN are both null."""
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
 def parse_whole(value: Column) -> Column:
+    """Whole number or null; '3.0' counts as 3 and is only looked at when '3' does not fit."""
     number = parse_number(value)
-    return F.when(number == F.floor(number), number.try_cast("int"))
+    return F.coalesce(
+        value.try_cast("int"), F.when(number == F.floor(number), number.try_cast("int"))
+    )
+
+
+def valid_date(year: Column, month: Column, day: Column) -> Column:
+    """Date of the parts, null unless they name a calendar day.
+
+    The range checks guard ``make_date``, which raises under ANSI mode; nothing is parsed.
+    """
+    in_year = year.between(1, 9999) & month.between(1, 12)
+    month_length = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+    in_month = F.when(day.between(1, 28), True).when(day.between(29, 31), day <= month_length)
+    return F.when(in_year, F.when(in_month, F.make_date(year, month, day)))
 
 
 def fix_data_types(df: DataFrame) -> DataFrame:
@@ -74,13 +87,8 @@ def create_date_column(df: DataFrame) -> DataFrame:
     repaired = df.withColumns(
         {c: F.when(F.col(c) == 0, 1).otherwise(F.col(c)) for c in ("imonth", "iday")}
     )
-    parts = F.when(
-        F.col("iyear").isNotNull() & F.col("imonth").isNotNull() & F.col("iday").isNotNull(),
-        F.concat_ws("-", "iyear", "imonth", "iday"),
-    )
-    return repaired.withColumn("date", F.try_to_date(parts, "y-M-d")).filter(
-        F.col("date").isNotNull()
-    )
+    date = valid_date(F.col("iyear"), F.col("imonth"), F.col("iday"))
+    return repaired.withColumn("date", date).filter(F.col("date").isNotNull())
 
 
 def validate_coordinates(df: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def kth_keys(
     for k in ks:
         hit = hit | ((F.col("_start") <= k) & (k < F.col("_upto")))
     # At most one coarse value per requested position, so this stays tiny.
-    edges = stage(edges.filter(hit).select(coarse, "_start"))
+    edges = edges.filter(hit).select(coarse, "_start")
     near = df.select(coarse, *fine).join(F.broadcast(edges), coarse)
     ranked = global_rank(near, fine, [coarse], out="_at")
     at = F.col("_start") + F.col("_at")

@@ -27,7 +27,7 @@ def exact_percentiles(
         df.select(*by, value).filter(F.col("_value").isNotNull())
         .groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = stage(running_total(counts, ["_value"], by, "_n", "_upto"))
+    ranked = running_total(counts, ["_value"], by, "_n", "_upto")
     totals = ranked.groupBy(*by).agg(F.sum("_n").alias("_total"))
     if by:
         ranked = attach(ranked, totals, by)

@@ -16,45 +16,87 @@ from pyspark.sql.window import Window, WindowSpec
 
 from eventcast.operators.attach import attach
 from eventcast.operators.rank import global_rank, windowed_by_position
+from eventcast.session import stage
 
 
 # --- event tables ---------------------------------------------------------------------------
 
+def day_gaps(days: DataFrame, group: str, date: str) -> DataFrame:
+    """(group, date, _first) with the days since the group's previous day with events."""
+    ordered = Window.partitionBy(group).orderBy(date)
+    return days.withColumn("_gap", F.datediff(F.col(date), F.lag(date).over(ordered)))
+
+
+def day_frequencies(days: DataFrame, windows: Sequence[int], group: str, date: str) -> DataFrame:
+    """(group, date, _n) with the group's events in the N days before each day."""
+    ordered = Window.partitionBy(group).orderBy(F.unix_date(F.col(date)))
+    return days.withColumns({
+        f"attacks_last_{n}d": F.coalesce(F.sum("_n").over(ordered.rangeBetween(-n, -1)), F.lit(0))
+        for n in windows
+    })
+
+
+def _gap_of(event_id: str) -> Column:
+    # Only the first event of a group's day has a gap; repeats on the same day are 0 apart.
+    return F.coalesce(F.when(F.col(event_id) == F.col("_first"), F.col("_gap")), F.lit(0))
+
+
 def days_since_last(
     events: DataFrame, group: str = "country_txt", date: str = "date", event_id: str = "eventid",
     out: str = "days_since_last",
 ) -> DataFrame:
     """Days since the previous event of the group; first event and same-day repeats give 0.
 
-    Only the first event of a group's day can have a gap, so the lag runs over (group, day).
+    The lag runs over (group, day), so a group's window holds at most one row per day.
     """
     days = events.groupBy(group, date).agg(F.min(event_id).alias("_first"))
-    ordered = Window.partitionBy(group).orderBy(date)
-    gaps = days.withColumn("_gap", F.datediff(F.col(date), F.lag(date).over(ordered)))
     return (
-        attach(events, gaps, [group, date])
-        .withColumn(out, F.when(F.col(event_id) == F.col("_first"), F.col("_gap")))
-        .withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+        attach(events, day_gaps(days, group, date), [group, date])
+        .withColumn(out, _gap_of(event_id))
         .drop("_first", "_gap")
     )
 
 
 def event_frequency(
-    events: DataFrame, days: Sequence[int] = (7, 30, 90), group: str = "country_txt",
+    events: DataFrame, windows: Sequence[int] = (7, 30, 90), group: str = "country_txt",
     date: str = "date",
 ) -> DataFrame:
     """Events of the group in the N days before the event's day."""
-    daily = events.groupBy(group, date).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.partitionBy(group).orderBy(F.unix_date(F.col(date)))
-    counts = daily.select(group, date, *[
-        F.coalesce(F.sum("_n").over(ordered.rangeBetween(-n, -1)), F.lit(0)).alias(
-            f"attacks_last_{n}d"
-        )
-        for n in days
-    ])
+    days = events.groupBy(group, date).agg(F.count(F.lit(1)).alias("_n"))
+    counts = day_frequencies(days, windows, group, date).drop("_n")
     return attach(events, counts, [group, date])
 
 
+def history_features(
+    events: DataFrame, windows: Sequence[int] = (7, 30, 90), country: str = "country_txt",
+    region: str = "region_txt", kind: str = "attacktype1_txt", date: str = "date",
+    event_id: str = "eventid", measure: str = "casualties",
+) -> DataFrame:
+    """Recency, frequency, region and type features from a single pass over the events.
+
+    One small (country, region, type, day) table feeds every lookup, so the events are read once
+    to build it and once to receive the features.
+    """
+    cells = stage(events.groupBy(country, region, kind, date).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(event_id).alias("_first"),
+        F.sum(measure).alias("_sum"), F.count(measure).alias("_have"),
+    ))
+    days = cells.groupBy(country, date).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+    days = day_frequencies(day_gaps(days, country, date), windows, country, date).drop("_n")
+    mean = F.try_divide(F.sum("_sum"), F.sum("_have"))
+    regions = cells.groupBy(region).agg(
+        mean.alias("region_avg_casualties"), F.sum("_n").alias("region_attack_count")
+    )
+    kinds = cells.groupBy(kind).agg(mean.alias("attacktype_avg_casualties"))
+    return (
+        events.transform(attach, days, [country, date])
+        .withColumn("days_since_last", _gap_of(event_id))
+        .drop("_first", "_gap")
+        .transform(attach, regions, region)
+        .transform(attach, kinds, kind)
+    )
+
+
 def group_statistics(events: DataFrame, group: str, stats: dict[str, Column]) -> DataFrame:
     """Aggregate per group and repeat the result on each of its rows."""
     return attach(

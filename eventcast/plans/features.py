@@ -22,10 +22,7 @@ def engineer_features(events: DataFrame) -> DataFrame:
         events.transform(with_casualties)
         .transform(temporal)
         .withColumn("is_us_holiday", C.us_holiday(F.col("date")))
-        .transform(windows.days_since_last)
-        .transform(windows.event_frequency)
-        .transform(windows.region_features)
-        .transform(windows.attack_type_features)
+        .transform(windows.history_features)
     )
 
 

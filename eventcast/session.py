@@ -54,3 +54,12 @@ def stage(df: DataFrame) -> DataFrame:
     """Compute once into the shared folder; later readers survive executor loss."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that has fewer partitions than there are cores.
+
+    Inputs with enough partitions, which is every large one, are left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,10 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventcast.functions import calendar as C
+from eventcast.session import spread
+
+# Columns of the input tables. Declared, so that reading starts no inference job.
+TABLE_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TABLE_COLUMNS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Document ids and texts, spread over the cores: text work is bound by CPU, not by reading."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def order_casualties(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,9 +40,14 @@ def order_casualties(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def incidents(spark: SparkSession, folder: str, casualties: bool = True) -> DataFrame:
+def incidents(
+    spark: SparkSession, folder: str, casualties: bool = True, cpu_bound: bool = False
+) -> DataFrame:
     """One row per order. Orders without lines have null casualties.
 
+    ``cpu_bound`` spreads an order table of few partitions over the cores before the joins, for
+    row work that outweighs the reading.
+
     No join carries a hint: nation and region fall under Spark's own broadcast size check,
     customers and line aggregates are shuffled on their keys and AQE splits skewed partitions.
     """
@@ -33,6 +58,8 @@ def incidents(spark: SparkSession, folder: str, casualties: bool = True) -> Data
         F.col("o_orderstatus").alias("weaptype1_txt"),
         (F.col("o_totalprice") / 1000 - 200).alias("longitude"),
     )
+    if cpu_bound:
+        orders = spread(orders)
     customers = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"),
         F.col("c_name").alias("city"), F.col("c_mktsegment").alias("targtype1_txt"),
@@ -84,7 +111,7 @@ def raw_incidents(spark: SparkSession, folder: str) -> DataFrame:
     def text(c):
         return F.col(c).cast("string")
 
-    base = incidents(spark, folder).select(
+    base = incidents(spark, folder, cpu_bound=True).select(
         "eventid",
         F.when(every(97), None).otherwise(F.year("date").cast("string")).alias("iyear"),
         F.when(every(31), "0").when(every(37), "2").otherwise(F.month("date").cast("string")).alias("imonth"),
