@@ -9,7 +9,7 @@ from eventcast.catalog.registry import query
 from eventcast.catalog.sequences import dense
 from eventcast.operators import ablate, evaluate, panel, regress, split
 from eventcast.operators import forecast as G
-from eventcast.session import stage
+from eventcast.session import result_table, stage
 from eventcast.sources import tables as T
 
 ROLES = G.Series("region_txt", "week_start", "attack_count")
@@ -183,8 +183,8 @@ def g10(s, d):
 @query("h4_feature_groups", "group_name string, column_name string")
 def h4(s, d):
     groups = ablate.feature_groups(full_panel(s, d).columns)
-    return s.createDataFrame(
-        [(g, c) for g, members in groups.items() for c in members], "group_name string, column_name string"
+    return result_table(
+        s, [(g, c) for g, members in groups.items() for c in members], "group_name string, column_name string"
     )
 
 

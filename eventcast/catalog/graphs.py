@@ -142,9 +142,15 @@ def n10(s, d):
 
     The graph here leaves out the type nodes, which would carry the label.
     """
-    events = graph.with_node_ids(T.featured_incidents(s, d))
+    wanted = ["eventid", "date_node", "location_node", "attacktype1_txt", "weaptype1_txt", "targtype1_txt",
+              "nkill", "nwound", "latitude", "longitude"]
+    # Read by every step below, so the joins behind it run once.
+    events = stage(graph.with_node_ids(T.featured_incidents(s, d)).select(*wanted))
+    events = split.random_split(events, "eventid")
     edges = events.select(F.col("date_node").alias("src"), F.col("location_node").alias("dst")).distinct()
-    spread = graph.propagate(_node_features(s, d), edges, ["killed", "wounded"], 3)
+    at = events.select("nkill", "nwound", F.explode(F.array("date_node", "location_node")).alias("id"))
+    means = at.groupBy("id").agg(F.avg("nkill").alias("killed"), F.avg("nwound").alias("wounded"))
+    spread = graph.propagate(means, edges, ["killed", "wounded"], 3)
     places = spread.select(
         F.col("id").alias("location_node"), F.col("killed").alias("near_killed"), F.col("wounded").alias("near_wounded")
     )
@@ -155,8 +161,9 @@ def n10(s, d):
     rows = encode.one_hot(rows, encode.category_levels(rows, ["weaptype1_txt", "targtype1_txt"]))
     hot = [c for c in rows.columns if c.startswith(("weaptype1_txt_", "targtype1_txt_"))]
     vectors = VectorAssembler(inputCols=[*numeric, *hot], outputCol="features").transform(rows)
-    kept = split.random_split(vectors.select("eventid", "features", "attacktype1_txt_encoded"), "eventid")
-    found = regress.classify(kept, "features", "attacktype1_txt_encoded")
+    found = regress.classify(
+        vectors.select("eventid", "split", "features", "attacktype1_txt_encoded"), "features", "attacktype1_txt_encoded"
+    )
     named = encode.decode_labels(found, codes, "attacktype1_txt", "predicted_code", "predicted")
     return encode.decode_labels(named, codes, "attacktype1_txt", "attacktype1_txt_encoded", "truth")
 

@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 from eventcast import schema as S
 from eventcast.operators import evaluate
 from eventcast.operators.clean import recent_span
-from eventcast.operators.regress import Regressor, evaluate_regressor, model_windows, train_regressor
+from eventcast.operators.regress import (
+    Regressor,
+    evaluate_regressor,
+    kept,
+    model_windows,
+    train_regressor,
+)
 from eventcast.operators.sequences import keep_features, to_vectors
+from eventcast.session import result_table
 
 # Smallest panel and window counts a study accepts.
 MIN_ROWS, MIN_TRAIN, MIN_TEST = 100, 50, 10
@@ -65,12 +72,9 @@ def feature_groups(columns: Sequence[str]) -> dict[str, list[str]]:
 
 
 def _fit_row(vectors: DataFrame, regressor: Regressor) -> dict:
-    vectors = vectors.persist()
-    try:
+    with kept(vectors):
         model = train_regressor(vectors, regressor)
         return evaluate_regressor(model, vectors, regressor.name).first().asDict()
-    finally:
-        vectors.unpersist()
 
 
 def feature_ablation(
@@ -79,19 +83,16 @@ def feature_ablation(
 ) -> DataFrame:
     """All features, then each group left out once: metrics, impact and interpretation."""
     windows, names, _ = model_windows(panel, by, time, target, length, ratios=TWO_WAY)
-    windows = windows.persist()
-    try:
-        rows = []
+    rows = []
+    with kept(windows):
         for group, members in [(BASELINE, []), *feature_groups(names).items()]:
-            kept = [i for i, c in enumerate(names) if c not in members]
-            if not kept:
+            positions = [i for i, c in enumerate(names) if c not in members]
+            if not positions:
                 continue
-            metrics = _fit_row(to_vectors(keep_features(windows, kept)).drop("x"), regressor)
-            rows.append((group, len(kept), metrics["RMSE"], metrics["MAE"], metrics["R2"]))
-    finally:
-        windows.unpersist()
-    results = panel.sparkSession.createDataFrame(
-        rows, "Feature_Group string, Features_Count int, RMSE double, MAE double, R2 double"
+            metrics = _fit_row(to_vectors(keep_features(windows, positions)).drop("x"), regressor)
+            rows.append((group, len(positions), metrics["RMSE"], metrics["MAE"], metrics["R2"]))
+    results = result_table(
+        panel.sparkSession, rows, "Feature_Group string, Features_Count int, RMSE double, MAE double, R2 double"
     )
     return evaluate.rank_by_impact(evaluate.impact_of_removal(results, "Feature_Group", BASELINE))
 
@@ -103,16 +104,14 @@ def _data_row(panel: DataFrame, by: str, time: str, target: str, length: int, na
     if samples < MIN_ROWS:
         return None
     windows, _, _ = model_windows(panel, by, time, target, length, ratios=TWO_WAY)
-    vectors = to_vectors(windows).drop("x").persist()
-    try:
+    vectors = to_vectors(windows).drop("x")
+    with kept(vectors):
         sizes = {r["split"]: r["count"] for r in vectors.groupBy("split").count().collect()}
         if sizes.get("train", 0) < MIN_TRAIN or sizes.get("test", 0) < MIN_TEST:
             return None
         model = train_regressor(vectors, regressor)
         m = evaluate_regressor(model, vectors, name).first()
         return name, samples, sum(sizes.values()), m["RMSE"], m["MAE"], m["R2"]
-    finally:
-        vectors.unpersist()
 
 
 _DATA_SCHEMA = "Configuration string, Samples long, Sequences long, RMSE double, MAE double, R2 double"
@@ -128,7 +127,7 @@ def span_ablation(
     recent = _data_row(recent_span(panel, time, months), by, time, target, length,
                        f"Recent Only (Last {months // 12} Years)", regressor)
     rows = [full, recent] if full and recent else []
-    results = panel.sparkSession.createDataFrame(rows, _DATA_SCHEMA)
+    results = result_table(panel.sparkSession, rows, _DATA_SCHEMA)
     base = results.filter(F.col("Configuration") == "Full History").agg(F.min("RMSE")).scalar()
     impact = F.col("RMSE") - base
     return results.withColumns({
@@ -148,7 +147,7 @@ def length_ablation(
         r for n in lengths
         if (r := _data_row(panel, by, time, target, n, f"Sequence Length {n}", regressor))
     ]
-    results = panel.sparkSession.createDataFrame(rows, _DATA_SCHEMA)
+    results = result_table(panel.sparkSession, rows, _DATA_SCHEMA)
     label = f"Sequence Length {baseline}"
     base = results.filter(F.col("Configuration") == label).agg(F.min("RMSE")).scalar()
     return results.withColumns({
@@ -163,15 +162,14 @@ def setting_sweep(
 ) -> DataFrame:
     """Every regressor setting on the same windows, ranked by RMSE."""
     windows, _, _ = model_windows(panel, by, time, target, length)
-    vectors = to_vectors(windows).drop("x").persist()
-    try:
-        rows = []
+    vectors = to_vectors(windows).drop("x")
+    rows = []
+    with kept(vectors):
         for s in settings:
             m = evaluate_regressor(train_regressor(vectors, s), vectors, s.name).first()
             rows.append((s.name, s.family, str(s.settings), m["RMSE"], m["MAE"], m["R2"], s.description))
-    finally:
-        vectors.unpersist()
-    results = panel.sparkSession.createDataFrame(
+    results = result_table(
+        panel.sparkSession,
         rows,
         "Architecture string, Model_Type string, Settings string, RMSE double, MAE double, "
         "R2 double, Description string",

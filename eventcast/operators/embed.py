@@ -14,12 +14,14 @@ from eventcast.session import stage
 
 def fit_word_vectors(
     tokens: DataFrame, column: str, size: int = 100, window: int = 5, min_count: int = 1,
-    partitions: int = 1, iterations: int = 1, seed: int = S.SEED,
+    partitions: int | None = None, iterations: int = 1, seed: int = S.SEED,
 ) -> Word2VecModel:
-    """Skip-gram vectors. Only the vocabulary and its vectors reach the driver.
+    """Skip-gram vectors, trained on all partitions of the input at once.
 
-    On large corpora raise ``min_count`` (bounds the vocabulary) and ``partitions``.
+    Only the vocabulary and its vectors reach the driver; ``min_count`` bounds both on large
+    corpora.
     """
+    partitions = partitions or tokens.rdd.getNumPartitions()
     return Word2Vec(
         inputCol=column, outputCol=f"{column}_vector", vectorSize=size, windowSize=window,
         minCount=min_count, numPartitions=partitions, maxIter=iterations, seed=seed,

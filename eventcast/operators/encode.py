@@ -25,7 +25,7 @@ def fit_label_codes(df: DataFrame, columns: Sequence[str] = S.TEXT_COLUMNS) -> D
         for c in present
     ])
     values = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct()
-    ranked = global_rank(values, ["value"], ["column_name"], out="code")
+    ranked = global_rank(values, ["value"], ["column_name"], out="code", fix=stage)
     return stage(ranked.withColumn("code", F.col("code").cast("int")))
 
 

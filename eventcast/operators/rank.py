@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from eventcast.session import stage
+from eventcast.session import stage, stage_table
 
 SLOT = "_slot"
 
@@ -23,17 +23,19 @@ def running_total(
     by: Sequence[str] = (),
     weight: str | None = None,
     out: str = "running",
+    fix: Callable[[DataFrame], DataFrame] = stage_table,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` (1 when absent) over ``order`` inside ``by``.
 
     ``(by, order)`` must be unique. Rows are range-partitioned on it and the layout is fixed
-    by a checkpoint, so a group of any size spreads over as many slots as it needs. A slot
+    by ``fix`` (a written table unless told otherwise), so a group of any size spreads over as
+    many slots as it needs. A slot
     needs an offset only for the group that crosses into it, hence there are at most as many
     offsets as slots and broadcasting them is bounded.
     """
     by, order = list(by), list(order)
     amount = F.lit(1).cast("long") if weight is None else F.col(weight)
-    laid = stage(
+    laid = fix(
         df.repartitionByRange(_slots(df), *by, *order).withColumn(SLOT, F.spark_partition_id())
     )
     per_slot = laid.groupBy(SLOT, *by).agg(F.sum(amount).alias("_sum"))
@@ -60,10 +62,11 @@ def running_total(
 
 
 def global_rank(
-    df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "position"
+    df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "position",
+    fix: Callable[[DataFrame], DataFrame] = stage_table,
 ) -> DataFrame:
     """0-based position of every row in ``order`` inside ``by``."""
-    return running_total(df, order, by, out=out).withColumn(out, F.col(out) - 1)
+    return running_total(df, order, by, out=out, fix=fix).withColumn(out, F.col(out) - 1)
 
 
 def windowed_by_position(
@@ -123,7 +126,7 @@ def kth_keys(
     # At most one coarse value per requested position, so this stays tiny.
     edges = edges.filter(hit).select(coarse, "_start")
     near = df.select(coarse, *fine).join(F.broadcast(edges), coarse)
-    ranked = global_rank(near, fine, [coarse], out="_at")
+    ranked = global_rank(near, fine, [coarse], out="_at", fix=stage)
     at = F.col("_start") + F.col("_at")
     key = F.struct(coarse, *fine)
     return ranked.agg(*[F.min(F.when(at == k, key)).alias(f"cut{i}") for i, k in enumerate(ks)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
@@ -17,7 +18,7 @@ from eventcast.operators.clean import feature_columns, fill_feature_nulls
 from eventcast.operators.encode import apply_scaler, fit_scaler
 from eventcast.operators.sequences import create_sequences, to_vectors
 from eventcast.operators.split import split_column
-from eventcast.session import stage
+from eventcast.session import result_table, stage
 
 
 @dataclass(frozen=True)
@@ -42,13 +43,27 @@ class Regressor:
         raise ValueError(f"unknown family {self.family}")
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """``df`` cached for several passes, unless it already is; released afterwards."""
+    cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+    if not cached:
+        df.persist()
+    try:
+        yield df
+    finally:
+        if not cached:
+            df.unpersist()
+
+
 def train_regressor(vectors: DataFrame, regressor: Regressor) -> Model:
     """Fit on the train rows; boosted trees stop early on the val rows."""
     fitted_on = ["train"] if regressor.family == "linear" else ["train", "val"]
-    rows = vectors.filter(F.col("split").isin(fitted_on)).withColumn(
-        "is_val", F.col("split") == "val"
+    rows = vectors.filter(F.col("split").isin(fitted_on)).select(
+        "y", "features", (F.col("split") == "val").alias("is_val")
     )
-    return regressor.estimator().fit(rows)
+    with kept(rows):
+        return regressor.estimator().fit(rows)
 
 
 def predict(model: Model, vectors: DataFrame, split: str = "test") -> DataFrame:
@@ -96,24 +111,25 @@ def learned_model(
 ) -> tuple[DataFrame, Model]:
     """Select, fill, scale, window, split, train and evaluate: (metrics row, model)."""
     windows, _, _ = model_windows(panel, by, time, target, length)
-    vectors = to_vectors(windows).select(by, "target_date", "y", "split", "features").persist()
-    try:
+    vectors = to_vectors(windows).select(by, "target_date", "y", "split", "features")
+    with kept(vectors):
         model = train_regressor(vectors, regressor)
         # The metrics are one row; computing them here lets the cached vectors go.
-        row = evaluate_regressor(model, vectors, regressor.name).first().asDict()
-    finally:
-        vectors.unpersist()
-    return panel.sparkSession.createDataFrame([row]), model
+        row = evaluate_regressor(model, vectors, regressor.name).first()
+    columns = "model string, n long, RMSE double, MAE double, MSE double, R2 double"
+    return result_table(panel.sparkSession, [tuple(row)], columns), model
 
 
 def classify(
     rows: DataFrame, features: str, label: str, max_iter: int = 50
 ) -> DataFrame:
     """Multinomial logistic regression on the train rows; predicted class of the test rows."""
-    model = LogisticRegression(
-        featuresCol=features, labelCol=label, predictionCol="predicted_code", family="multinomial",
-        maxIter=max_iter, regParam=1e-4,
-    ).fit(rows.filter(F.col("split") == "train"))
+    train = rows.filter(F.col("split") == "train").select(features, label)
+    with kept(train):
+        model = LogisticRegression(
+            featuresCol=features, labelCol=label, predictionCol="predicted_code",
+            family="multinomial", maxIter=max_iter, regParam=1e-4,
+        ).fit(train)
     return model.transform(rows.filter(F.col("split") == "test")).withColumn(
         "predicted_code", F.col("predicted_code").cast("int")
     )

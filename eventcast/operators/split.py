@@ -12,15 +12,23 @@ from eventcast import schema as S
 from eventcast.operators.rank import kth_keys
 
 
+def _ahead(columns: Sequence[str], key: Sequence) -> Column:
+    """True for rows before ``key`` in the order of ``columns``."""
+    first, value = F.col(columns[0]), F.lit(key[0])
+    if len(columns) == 1:
+        return first < value
+    return (first < value) | ((first == value) & _ahead(columns[1:], key[1:]))
+
+
 def _before(df: DataFrame, coarse: str, fine: Sequence[str], positions) -> list[Column]:
     """Per position, a column that is true for the rows ahead of it in the order.
 
-    Rows are compared with the key found at each position, so wide rows are never shuffled.
+    Only the key found at each position comes to the driver. Rows are compared with it as a
+    literal, so wide rows are never shuffled and a filter on the split reaches the scan.
     """
-    cuts = kth_keys(df, coarse, fine, positions)
-    found = cuts.select(F.struct(*cuts.columns)).scalar()
-    key = F.struct(coarse, *fine)
-    return [F.coalesce(key < found.getField(c), F.lit(True)) for c in cuts.columns]
+    cuts = kth_keys(df, coarse, fine, positions).first()
+    columns = [coarse, *fine]
+    return [F.lit(True) if key is None else _ahead(columns, key) for key in cuts]
 
 
 def split_column(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -45,9 +47,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/eventcast-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/eventcast/{label}-{uuid.uuid4().hex}"
+    """A fresh path under this application's part of the shared folder."""
+    return f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application wrote with ``new_path``; call when results are saved."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -56,6 +69,26 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """Like ``stage`` for tables as large as the events: a compressed columnar table, so that
+    later passes read only the columns they need."""
+    spark = df.sparkSession
+    path = new_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def result_table(spark: SparkSession, rows: Sequence[Sequence], columns: str) -> DataFrame:
+    """A few result rows (one per model or setting) as a DataFrame, without Python workers."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    fields = [part.split() for part in columns.split(",")]
+    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+    names = [name for name, _ in fields]
+    return spark.createDataFrame(
+        pa.Table.from_pylist([dict(zip(names, row)) for row in rows], schema=schema)
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input that has fewer partitions than there are cores.
 
