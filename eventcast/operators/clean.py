@@ -11,6 +11,7 @@ from eventcast import schema as S
 from eventcast.operators.stats import exact_percentiles
 
 UNKNOWN = "Unknown"
+BLANKS = " \t\n\r\x0b\x0c"
 
 
 def _present(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -55,22 +56,18 @@ def parse_number(value: Column) -> Column:
 
 
 def parse_whole(value: Column) -> Column:
-    """Whole number or null; '3.0' counts as 3 and is only looked at when '3' does not fit."""
-    number = parse_number(value)
-    return F.coalesce(
-        value.try_cast("int"), F.when(number == F.floor(number), number.try_cast("int"))
-    )
+    """Whole number or null; '3.0' counts as 3, '3.5' as no whole number."""
+    return F.regexp_replace(value.cast("string"), r"\.0*\s*$", "").try_cast("int")
 
 
 def valid_date(year: Column, month: Column, day: Column) -> Column:
-    """Date of the parts, null unless they name a calendar day.
+    """Date of the parts, null unless they name a calendar day; nothing is parsed.
 
-    The range checks guard ``make_date``, which raises under ANSI mode; nothing is parsed.
+    Each part occurs once: a filter on the date is pushed below the cleaning steps and carries
+    the parts' own expressions with it.
     """
-    in_year = year.between(1, 9999) & month.between(1, 12)
-    month_length = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
-    in_month = F.when(day.between(1, 28), True).when(day.between(29, 31), day <= month_length)
-    return F.when(in_year, F.when(in_month, F.make_date(year, month, day)))
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(year, month, day, zero, zero, zero).cast("date")
 
 
 def fix_data_types(df: DataFrame) -> DataFrame:
@@ -106,7 +103,7 @@ def validate_coordinates(df: DataFrame) -> DataFrame:
 def standardize_text_fields(df: DataFrame, columns: Sequence[str] = S.TEXT_COLUMNS) -> DataFrame:
     # The reference result for an all-blank value and for the literal text 'nan' is Unknown.
     def tidy(c: str) -> Column:
-        trimmed = F.trim(F.regexp_replace(F.col(c).cast("string"), r"^\s+|\s+$", ""))
+        trimmed = F.btrim(F.col(c).cast("string"), F.lit(BLANKS))
         return F.coalesce(F.nullif(F.nullif(trimmed, F.lit("")), F.lit("nan")), F.lit(UNKNOWN))
 
     return df.withColumns({c: tidy(c) for c in _present(df, columns)})
