@@ -147,13 +147,17 @@ def e9(s, d):
     return encode.one_hot(events, encode.category_levels(events, ["weaptype1_txt"]))
 
 
-@query("e9_one_hot_vectors", "eventid long, size int, ones double")
+# One position more than there are values: the one for nulls.
+@query("e9_one_hot_vectors", "eventid long, position int, size int",
+       f"""WITH {Q.INC} SELECT eventid, dense_rank() OVER (ORDER BY city) - 1 AS position,
+       (SELECT count(DISTINCT city) + 1 FROM inc) AS size FROM inc""")
 def e9_vectors(s, d):
-    encoded, _ = encode.one_hot_vectors(T.incidents(s, d, casualties=False).select("eventid", "city"), ["city"])
-    values = encoded.withColumn("v", vector_to_array("city_vec"))
-    return values.select(
-        "eventid", F.size("v").alias("size"),
-        F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("ones"),
+    events = T.incidents(s, d, casualties=False).select("eventid", "city")
+    encoded, model = encode.one_hot_vectors(events, ["city"])
+    # The vectors stay sparse: their one set position is the index of the value.
+    return encoded.select(
+        "eventid", F.col("city_index").alias("position"),
+        F.lit(model.stages[-1].categorySizes[0]).alias("size"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventcast.catalog import sqltext as Q
 from eventcast.catalog.registry import query
 from eventcast.functions import text as X
 from eventcast.operators import embed
@@ -86,14 +87,18 @@ def text_flags(s, d):
     return flag_summary(features.text_statistics(_docs(s, d), "text"), ["has_text", "text_word_count"])
 
 
-@query("t7_word_vectors", "word string, size int")
+@query("t7_word_vectors", "word string, size int",
+       f"""WITH {CLEAN} SELECT DISTINCT w AS word, 100 AS size FROM (SELECT unnest(string_split(t, ' ')) AS w FROM cleaned)
+       WHERE w <> ''""")
 def t7(s, d):
     tokens = _docs(s, d).select(X.words(X.clean_text(F.col("text"))).alias("tokens"))
     model = embed.fit_word_vectors(tokens, "tokens", size=100, window=5)
     return embed.word_vectors(model).withColumn("size", F.size("vector"))
 
 
-@query("j6_embedding_lookup", "eventid long, city string, size int, is_zero boolean")
+@query("j6_embedding_lookup", "eventid long, city string, size int, is_zero boolean",
+       f"""WITH {Q.INC} SELECT eventid, city, 100 AS size,
+       city NOT IN (SELECT city FROM inc WHERE eventid % 2 = 0) AS is_zero FROM inc""")
 def j6(s, d):
     # One token per event, as a place name; every vector is looked up by the place.
     events = T.incidents(s, d, casualties=False).select("eventid", "city")

@@ -69,7 +69,10 @@ def category_levels(df: DataFrame, columns: Sequence[str], limit: int = 200) ->
 
 
 def one_hot_vectors(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, PipelineModel]:
-    """Sparse vectors for columns with many values; no level dropped."""
+    """Sparse vectors for columns with many values; no level dropped.
+
+    The fitted indexer holds the distinct values of each column, not the rows.
+    """
     stages = [
         StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetAsc",
                       handleInvalid="keep")

@@ -94,3 +94,10 @@ def test_random_split_is_exact_and_repeatable(spark):
     assert once.exceptAll(again).count() == 0
     other = split.random_split(rows, "eventid", seed=7)
     assert once.exceptAll(other).count() > 0
+
+
+def test_one_hot_vectors_keep_every_level(spark):
+    rows = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
+    encoded, _ = encode.one_hot_vectors(rows, ["c"])
+    found = {r["c"]: r["c_vec"].toArray().tolist() for r in encoded.collect()}
+    assert found == {"a": [1, 0, 0], "b": [0, 1, 0], None: [0, 0, 1]}
