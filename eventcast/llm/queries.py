@@ -10,15 +10,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventcast.llm import langid
+from eventcast.llm import langid, secrets, toxicity
 from eventcast.llm.base import table
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
