@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventcast.llm import langid, secrets, toxicity
+from eventcast.llm import langid, pii, secrets, toxicity
 from eventcast.llm.base import table
 
 
@@ -22,6 +22,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(table(spark, folder, "documents"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
@@ -29,6 +33,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op7_toxicity": op7_toxicity,
+    "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
