@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventcast.llm import langid, packing, pii, secrets, toxicity
+from eventcast.llm import langid, packing, pii, secrets, simhash, toxicity
 from eventcast.llm.base import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+def op3_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.report(table(spark, folder, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -36,6 +40,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_simhash_groups": op3_simhash_groups,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_personal_data": op8_personal_data,
