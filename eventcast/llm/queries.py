@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventcast.llm import langid, packing, pii, secrets, simhash, toxicity
+from eventcast.llm import decontaminate, langid, packing, pii, secrets, simhash, toxicity
 from eventcast.llm.base import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.report(table(spark, folder, "documents"))
 
 
+def op4_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -41,6 +45,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_groups": op3_simhash_groups,
+    "op4_benchmark_passages": op4_benchmark_passages,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_personal_data": op8_personal_data,
