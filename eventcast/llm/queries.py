@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventcast.llm import decontaminate, langid, packing, pii, secrets, simhash, toxicity
+from eventcast.llm import decontaminate, langid, packing, pii, revisits, secrets, simhash, topk, toxicity
 from eventcast.llm.base import table
 
 
@@ -30,6 +31,10 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -42,13 +47,81 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
 
+def op10_revisit_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """Archive records made from the pages, resolved; headers as sorted text, payloads as length and digest."""
+    found = revisits.resolve_revisits(revisits.records_of_pages(table(spark, folder, "pages")))
+    pairs = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", "canonical", "captured", "kind", "outcome", "refers_to",
+                        F.array_join(F.array_sort(pairs), ";").alias("headers"),
+                        F.length("payload").cast("long").alias("n_chars"), F.md5("payload").alias("payload_md5"))
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 20
+"""
+
+OP10_SQL = """
+WITH pages_ AS (
+  SELECT page_id, url, html, md5(coalesce(html, '')) AS digest, 'day ' || (page_id % 1000) AS day FROM pages),
+raw AS (
+  SELECT 2 * page_id AS record_id, url, 10 * page_id AS captured, 'response' AS kind,
+    '"' || substr(digest, 1, 16) || '"' AS etag, day AS modified,
+    'cache-control=max-age=60' AS cache, CAST(NULL AS VARCHAR) AS sent_date,
+    CAST(length(coalesce(html, '')) AS VARCHAR) AS size, html AS payload FROM pages_
+  UNION ALL
+  SELECT 2 * page_id + 1, 'HTTPS://WWW.' || regexp_replace(url, '^[a-z]+://|#.*$', '', 'g') || '#seen',
+    10 * page_id + CASE WHEN page_id % 11 = 4 THEN -5 ELSE 5 END, 'revisit',
+    CASE WHEN page_id % 7 = 3 THEN '"' || reverse(substr(digest, 1, 16)) || '"' WHEN page_id % 13 = 5 THEN NULL
+      ELSE 'W/"' || substr(digest, 1, 16) || '"' END,
+    CASE WHEN page_id % 26 <> 5 THEN day END, 'cache-control=max-age=120', 'date=' || day, '0', NULL FROM pages_),
+bare AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM raw),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\\.', '') AS host,
+    regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '^[^?]*\\?(.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|sessionid)(=|$)'))), '&') AS query FROM bare),
+named AS (
+  SELECT *, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM parts),
+seen AS (
+  SELECT *, max(CASE WHEN kind = 'response' THEN {'c': captured, 'r': record_id} END) OVER (
+    PARTITION BY canonical ORDER BY captured, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM named),
+joined AS (
+  SELECT s.*, r.record_id AS ref, r.etag AS r_etag, r.modified AS r_modified, r.payload AS r_payload, r.size AS r_size
+  FROM seen s LEFT JOIN named r ON s.kind = 'revisit' AND r.kind = 'response' AND r.record_id = s.latest.r),
+judged AS (
+  SELECT *, CASE WHEN kind = 'response' THEN 'original' WHEN ref IS NULL THEN 'no_earlier_response'
+    WHEN etag IS NULL AND modified IS NULL THEN 'no_validator'
+    WHEN (etag IS NOT NULL AND regexp_replace(etag, '^W/', '') = r_etag) OR (etag IS NULL AND modified = r_modified)
+      THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM joined)
+SELECT record_id, canonical, captured, kind, outcome, ref AS refers_to,
+  CASE WHEN outcome = 'original' THEN cache || ';content-length=' || size || ';content-type=text/html;etag=' || etag
+    WHEN outcome = 'resolved' THEN cache || ';content-length=' || r_size || ';content-type=text/html;' || sent_date || ';etag=' || r_etag
+    ELSE cache || ';content-length=0;' || sent_date END AS headers,
+  CAST(length(CASE WHEN outcome = 'resolved' THEN r_payload WHEN outcome = 'original' THEN payload END) AS BIGINT) AS n_chars,
+  md5(CASE WHEN outcome = 'resolved' THEN r_payload WHEN outcome = 'original' THEN payload END) AS payload_md5
+FROM judged
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_benchmark_passages": op4_benchmark_passages,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
+    "op10_revisit_resolution": op10_revisit_resolution,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op10_revisit_resolution": OP10_SQL}
