@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventcast.llm import decontaminate, langid, packing, pii, revisits, secrets, simhash, topk, toxicity
+from eventcast.llm import decontaminate, langid, packing, pii, revisits, secrets, simhash, suffix_dedup, topk, toxicity
 from eventcast.llm.base import table
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"), keep_bytes=False)
+
+
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
@@ -114,6 +118,7 @@ FROM judged
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_benchmark_passages": op4_benchmark_passages,
