@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventcast.llm.base import map_slices, text_bytes
+from eventcast.llm.base import map_slices, numbered, text_bytes
 from eventcast.llm.components import components
 from eventcast.operators.attach import attach
 from eventcast.session import stage
@@ -233,12 +233,11 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each group of near-duplicates: the one with the least doc_id, of repeated rows the first.
 
-    ``docs`` must be a table that reads in the same order each time, as written ones do. Rows with a null
-    doc_id stay: nothing names them as copies. All columns are returned as they are.
+    Rows with a null doc_id stay: nothing names them as copies. All columns are returned as they are.
     """
-    numbered = docs.withColumn("_simhash_row", F.monotonically_increasing_id())
-    keyed = numbered.select(F.struct(F.col("doc_id").alias("d"), F.col("_simhash_row").alias("r")).alias("doc_id"), "text")
+    rows = numbered(docs, "_simhash_row")
+    keyed = rows.select(F.struct(F.col("doc_id").alias("d"), F.col("_simhash_row").alias("r")).alias("doc_id"), "text")
     groups = near_groups(keyed.filter("doc_id.d is not null"), radius, shingle)
     kept = groups.select(F.col("component_id.r").alias("_simhash_row")).distinct()
-    stays = numbered.filter("doc_id is not null").join(kept, "_simhash_row", "left_semi")
-    return stays.unionByName(numbered.filter("doc_id is null")).select(*docs.columns)
+    stays = rows.filter("doc_id is not null").join(kept, "_simhash_row", "left_semi")
+    return stays.unionByName(rows.filter("doc_id is null")).select(*docs.columns)
