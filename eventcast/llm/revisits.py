@@ -31,18 +31,17 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
-def latest_before(events: DataFrame, key: str, order: list[str], offers: Column) -> DataFrame:
-    """``events`` with ``_slot`` and ``_latest``: the ``order`` struct of the latest earlier row of the same
-    ``key`` for which ``offers`` holds, or null.
+def latest_before(events: DataFrame, key: str, order: list[str], offers: Column, carry: list[str]) -> DataFrame:
+    """``events`` with ``_slot``, ``_latest`` (the ``order`` and ``carry`` columns, as a struct, of the latest
+    earlier row of the same ``key`` for which ``offers`` holds, or null) and ``_far`` (that row is in another slot).
 
     ``order`` must be unique within a key. Rows are laid out by range of (key, order) into a written table, so a key
     of any size spreads over slots. Only the first key of a slot can continue from earlier slots, hence
-    there are at most as many carried values as slots, and broadcasting them is bounded.
+    there are at most as many carried values as slots, and broadcasting them is bounded if ``carry`` is of fixed size.
     """
     slots = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    at = F.struct(*order)
     laid = stage_table(events.repartitionByRange(slots, key, *order).withColumn("_slot", F.spark_partition_id()))
-    offered = F.when(offers, at)
+    offered = F.when(offers, F.struct(*order, *carry))
     per_slot = laid.groupBy(key, "_slot").agg(F.max(offered).alias("_most"))
     earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slot.withColumn("_carried", F.max("_most").over(earlier)).filter("_carried is not null").select(
@@ -50,13 +49,37 @@ def latest_before(events: DataFrame, key: str, order: list[str], offers: Column)
     inside = Window.partitionBy("_slot", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     found = laid.withColumn("_own", F.max(offered).over(inside))
     found = found.join(F.broadcast(carried), (F.col("_slot") == F.col("_at")) & (F.col(key) == F.col("_key")), "left")
-    return found.withColumn("_latest", F.coalesce("_own", "_carried")).drop("_own", "_carried", "_key", "_at")
+    return found.withColumn("_latest", F.coalesce("_own", "_carried")).withColumn(
+        "_far", F.col("_own").isNull() & F.col("_carried").isNotNull()).drop("_own", "_carried", "_key", "_at")
+
+
+def _digest(value: Column) -> Column:
+    """A validator of any length as 32 bytes; null stays null."""
+    return F.unhex(F.sha2(value, 256))
 
 
 def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
 
+def _judged(named: DataFrame) -> DataFrame:
+    """Revisits with outcome, refers_to and the slot and distance of the as-of join; no payload moves here."""
+    known = F.col("canonical").isNotNull() & F.col("captured").isNotNull() & F.col("record_id").isNotNull()
+    is_revisit = F.col("kind") == "revisit"
+    keys = named.filter(known).select(
+        "record_id", "canonical", "captured", "kind", _digest(_weak(F.col("etag"))).alias("_tag"),
+        _digest(F.col("last_modified")).alias("_date"), F.when(is_revisit, F.col("headers")).alias("headers"))
+    matched = latest_before(keys, "canonical", ["captured", "record_id"], F.col("kind") == "response", ["_tag", "_date"])
+    tagged, dated = F.col("_tag").isNotNull(), F.col("_date").isNotNull()
+    agrees = F.when(tagged, F.col("_tag") == F.col("_latest._tag")).otherwise(F.col("_date") == F.col("_latest._date"))
+    outcome = (F.when(F.col("_latest").isNull(), "no_earlier_response").when(~tagged & ~dated, "no_validator")
+               .when(agrees, "resolved").otherwise("validator_mismatch"))
+    matched = matched.filter(is_revisit).select(
+        "record_id", "canonical", "captured", "kind", outcome.alias("outcome"),
+        F.col("_latest.record_id").alias("refers_to"), "headers", "_slot", "_far")
+    return stage_table(matched)
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Records (record_id unique, url, captured, kind, etag, last_modified, headers map, payload) with outcomes.
 
@@ -66,45 +89,41 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     resolved revisits get a payload and merged headers; the others keep their own headers. Equal capture
     times are ordered by record_id. Rows without url, time or id take no part in the join: responses stay as
     they are, revisits have no earlier response. Header names must be in lower case.
+
+    The as-of join moves no payloads: it compares digests of the validators. Payloads are shuffled once, for the
+    revisits that take them over.
     """
-    known = F.col("canonical").isNotNull() & F.col("captured").isNotNull() & F.col("record_id").isNotNull()
     named = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "captured", "kind", "etag",
                            "last_modified", "headers", "payload")
-    keys = named.filter(known).select("record_id", "canonical", "captured", "kind")
-    matched = latest_before(keys, "canonical", ["captured", "record_id"], F.col("kind") == "response")
-    matched = stage_table(matched.filter("kind = 'revisit' and _latest is not null").select(
-        "record_id", "_slot", F.col("_latest.record_id").alias("refers_to")))
+    columns = ["record_id", "canonical", "captured", "kind", "outcome", "refers_to", "headers", "payload"]
+    judged = _judged(named)
 
-    # A response that many revisits confirm goes to every slot that holds some, so no task gets all of them.
+    # A response that revisits of other slots confirm goes to each of these slots too, so no task gets more than
+    # a slot holds. There are fewer such pairs than slots: each is the first key of its slot.
+    resolved = judged.filter("outcome = 'resolved'").withColumn("_part", F.when(F.col("_far"), F.col("_slot")).otherwise(-1))
+    far = resolved.filter("_far").groupBy("refers_to").agg(F.collect_set("_slot").alias("_parts"))
     responses = named.filter("kind = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("etag").alias("_etag"), F.col("last_modified").alias("_modified"),
-        F.col("headers").alias("_stored"), F.col("payload").alias("_body"))
-    wanted = matched.select("refers_to", "_slot").distinct().join(responses, "refers_to")
-    revisits = named.filter("kind = 'revisit'").drop("payload")
-    joined = revisits.join(matched, "record_id").join(wanted, ["refers_to", "_slot"], "left")
-    tagged, dated = F.col("etag").isNotNull(), F.col("last_modified").isNotNull()
-    agrees = F.when(tagged, F.coalesce(_weak(F.col("etag")) == _weak(F.col("_etag")), F.lit(False))).otherwise(
-        F.coalesce(F.col("last_modified") == F.col("_modified"), F.lit(False)))
-    outcome = F.when(~tagged & ~dated, "no_validator").when(agrees, "resolved").otherwise("validator_mismatch")
-    done = F.col("outcome") == "resolved"
+        F.col("record_id").alias("refers_to"), F.col("headers").alias("_stored"), F.col("payload").alias("_body"))
+    responses = responses.join(F.broadcast(far), "refers_to", "left").withColumn("_part", F.explode(
+        F.concat(F.array(F.lit(-1)), F.coalesce("_parts", F.array().cast("array<int>"))))).drop("_parts")
+    # The hint keeps the plan the same at every size.
+    joined = resolved.join(responses.hint("merge"), ["refers_to", "_part"], "left")
     fresh = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")),
                          lambda name, _: ~name.isin(*KEPT_HEADERS))
     stays = F.map_filter(F.coalesce("_stored", F.create_map().cast("map<string,string>")),
                          lambda name, _: ~F.array_contains(F.map_keys(fresh), name))
-    columns = ["record_id", "canonical", "captured", "kind", "outcome", "refers_to", "headers", "payload"]
-    joined = joined.withColumn("outcome", outcome).select(
-        "record_id", "canonical", "captured", "kind", "outcome", "refers_to",
-        F.when(done, F.map_concat(stays, fresh)).otherwise(F.col("headers")).alias("headers"),
-        F.when(done, F.col("_body")).alias("payload"))
-    # A null id equals nothing, so such revisits stay in the anti join.
-    alone = named.filter("kind = 'revisit'").join(matched.select("record_id"), "record_id", "left_anti")
-    nothing = F.lit(None).cast(records.schema["record_id"].dataType).alias("refers_to")
-    alone = alone.withColumn("payload", F.lit(None).cast(records.schema["payload"].dataType))
-    alone = alone.select("record_id", "canonical", "captured", "kind", F.lit("no_earlier_response").alias("outcome"),
-                         nothing, "headers", "payload")
+    joined = joined.withColumn("headers", F.map_concat(stays, fresh)).withColumnRenamed("_body", "payload").select(*columns)
+
+    no_id = F.lit(None).cast(records.schema["record_id"].dataType).alias("refers_to")
+    no_payload = F.lit(None).cast(records.schema["payload"].dataType).alias("payload")
+    others = judged.filter("outcome <> 'resolved'").withColumn("payload", no_payload).select(*columns)
+    unknown = F.col("canonical").isNull() | F.col("captured").isNull() | F.col("record_id").isNull()
+    apart = named.filter("kind = 'revisit'").filter(unknown).select(
+        "record_id", "canonical", "captured", "kind", F.lit("no_earlier_response").alias("outcome"), no_id, "headers",
+        no_payload)
     originals = named.filter("kind = 'response'").select(
-        "record_id", "canonical", "captured", "kind", F.lit("original").alias("outcome"), nothing, "headers", "payload")
-    return originals.unionByName(joined).unionByName(alone).select(*columns)
+        "record_id", "canonical", "captured", "kind", F.lit("original").alias("outcome"), no_id, "headers", "payload")
+    return originals.unionByName(joined).unionByName(others).unionByName(apart)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
