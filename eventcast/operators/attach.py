@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,21 +14,31 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 1000
 
 
+def _content_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value by its content, nested ones included; 16 for anything of fixed width."""
+    none = F.lit(0).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = 16 + F.octet_length(value)
+    elif isinstance(kind, T.ArrayType):
+        size = 16 + F.aggregate(value, none, lambda total, v: total + _content_bytes(v, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        entries = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
+        size = _content_bytes(F.map_entries(value), entries)
+    elif isinstance(kind, T.StructType):
+        size = none
+        for field in kind.fields:
+            size = size + _content_bytes(value.getField(field.name), field.dataType)
+    else:
+        return F.lit(16).cast("long")
+    return F.coalesce(size.cast("long"), F.lit(16).cast("long"))
+
+
 def table_bytes(df: DataFrame) -> int:
-    """Measured size of a staged table: fixed-width columns by count, others by content."""
-    per_row = 0
-    variable = F.lit(0)
+    """Measured size of a staged table, by the content of its values."""
+    row = F.lit(16).cast("long")
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            variable = variable + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
-            variable = variable + 16 * F.greatest(F.size(F.col(field.name)), F.lit(0))
-        else:
-            per_row += 16
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(variable.cast("long")), F.lit(0)).alias("b")
-    ).first()
-    return int(row["n"]) * (per_row + 16) + int(row["b"])
+        row = row + _content_bytes(F.col(f"`{field.name}`"), field.dataType)
+    return int(df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0])
 
 
 def attach(
@@ -44,20 +54,28 @@ def attach(
     """Join ``facts`` to a ``lookup`` that is unique on ``on``.
 
     The lookup is computed once and measured. Up to ``broadcast_bytes`` it is broadcast and
-    the facts are not shuffled at all. Beyond that, keys holding at least 1/``hot_keys`` of
-    the facts (so at most ``hot_keys`` of them) are joined by broadcasting only their lookup
-    rows, and the remaining, provably light keys take an ordinary shuffle join.
+    the facts are not shuffled at all. Beyond that there is one shuffle join. Keys holding at least
+    1/``hot_keys`` of the facts (so at most ``hot_keys`` of them) are dealt over several parts by a
+    hash of the row, and only their lookup rows are repeated, once per part; rows with a null key,
+    which match nothing, are dealt out too. The facts stand in the plan once.
     """
     keys = [on] if isinstance(on, str) else list(on)
     lookup = lookup if staged else stage(lookup)
     if table_bytes(lookup) <= broadcast_bytes:
         return facts.join(F.broadcast(lookup), keys, how)
 
-    # Both branches must agree on the hot keys, so they are fixed by a staged table.
+    # Both sides must agree on the hot keys, so they are fixed by a staged table.
     counts = stage(facts.groupBy(*keys).count().dropna(subset=keys))
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
-    hot = stage(counts.filter(F.col("count") * hot_keys >= total).select(*keys))
-    hot_lookup = F.broadcast(lookup.join(F.broadcast(hot), keys, "left_semi"))
-    hot_facts = facts.join(F.broadcast(hot), keys, "left_semi").join(hot_lookup, keys, how)
-    light_facts = facts.join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, how)
-    return hot_facts.unionByName(light_facts)
+    hot = stage(counts.filter(F.col("count") * hot_keys >= total).select(
+        *keys, F.ceil(F.col("count") * hot_keys / total).cast("int").alias("_parts")))
+    hot = F.broadcast(hot)
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    dealt = [F.col(f"`{f.name}`") for f in facts.schema.fields if "map<" not in f.dataType.simpleString()]
+    parts = F.when(missing, F.lit(hot_keys)).otherwise(F.coalesce("_parts", F.lit(1)))
+    spread = facts.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*dealt), parts).cast("int"))
+    copies = lookup.join(hot, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    repeated = lookup.withColumn("_part", F.lit(0)).unionByName(copies.filter("_part > 0").drop("_parts"))
+    return spread.drop("_parts").join(repeated, [*keys, "_part"], how).drop("_part")

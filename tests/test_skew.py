@@ -39,6 +39,16 @@ def test_attach_equals_plain_join(spark, how, size):
     same(attach(facts, lookup, "key", how, broadcast_bytes=size, hot_keys=10), facts.join(lookup, "key", how))
 
 
+def test_chained_attaches_keep_one_copy_of_the_facts(spark, tmp_path):
+    skewed(spark).write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    lookup = facts.filter("key is not null").groupBy("key").agg(F.avg("v").alias("m"))
+    for name in ("a", "b", "c"):
+        facts = attach(facts, lookup.withColumnRenamed("m", name), "key", broadcast_bytes=0)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+
+
 def test_attach_splits_hot_keys_without_salting_the_rest(spark):
     facts = skewed(spark)
     lookup = facts.filter("key is not null").groupBy("key").agg(F.avg("v").alias("m"))
@@ -46,11 +56,28 @@ def test_attach_splits_hot_keys_without_salting_the_rest(spark):
     assert "Union" in plan and "strategy=broadcast" in plan
 
 
+def test_attach_deals_hot_and_null_keys_over_parts(spark):
+    facts = skewed(spark)
+    lookup = facts.filter("key is not null").groupBy("key").agg(F.avg("v").alias("m"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = attach(facts, lookup, "key", broadcast_bytes=0, hot_keys=20).groupBy(
+            F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in sizes) < 3000 / 3
+
+
 def test_table_bytes_grows_with_content(spark):
     small = spark.createDataFrame([("a",)], "s string")
     large = spark.createDataFrame([("a" * 1000,)], "s string")
     assert table_bytes(large) - table_bytes(small) == 999
     assert table_bytes(small.filter("false")) == 0
+    deep = "a array<string>, s struct<t: string, u: array<array<string>>>, m map<string, binary>"
+    few = spark.createDataFrame([(["x"], ("y", [["z"]]), {"k": b"v"})], deep)
+    many = spark.createDataFrame([(["x" * 500] * 4, ("y" * 300, [["z" * 200] * 3]), {"k": b"v" * 100})], deep)
+    assert table_bytes(many) - table_bytes(few) > 2000 + 300 + 600 + 90
+    assert table_bytes(spark.createDataFrame([(None, None, None)], deep)) > 0
 
 
 @pytest.mark.parametrize("by", [[], ["key"]])
