@@ -102,12 +102,7 @@ panel AS (
 
 
 def std(column: str, frame: str) -> str:
-    return (
-        f"CASE WHEN count({column}) OVER {frame} > 1 THEN sqrt(greatest("
-        f"sum({column} * {column} * 1.0) OVER {frame} - sum({column} * 1.0) OVER {frame}"
-        f" * sum({column} * 1.0) OVER {frame} / count({column}) OVER {frame}, 0)"
-        f" / (count({column}) OVER {frame} - 1)) END"
-    )
+    return f"stddev_samp({column}) OVER {frame}"
 
 
 def full_panel(grain: str = "region_txt") -> str:

@@ -6,17 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stop words and the longest word length that is still dropped.
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was were be been being "
-    "have has had"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from",
+    "as", "is", "was", "were", "be", "been", "being", "have", "has", "had",
+]
 SHORT_WORD = 3
+# Blanks of any script, and the four separators among the control characters.
+BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 
 
 def clean_text(text: Column) -> Column:
     """Lower-case letters and single spaces only; null or 'Unknown' gives ''."""
-    letters = F.regexp_replace(F.lower(text), r"[^a-zA-Z\s]", "")
-    spaced = F.trim(F.regexp_replace(letters, r"\s+", " "))
+    letters = F.regexp_replace(F.lower(text), f"[^a-zA-Z{BLANK}]", "")
+    spaced = F.trim(F.regexp_replace(letters, f"[{BLANK}]+", " "))
     return F.when(text.isNull() | (text == "Unknown"), F.lit("")).otherwise(spaced)
 
 

@@ -56,8 +56,10 @@ def parse_number(value: Column) -> Column:
 
 
 def parse_whole(value: Column) -> Column:
-    """Whole number or null; '3.0' counts as 3, '3.5' as no whole number."""
-    return F.regexp_replace(value.cast("string"), r"\.0*\s*$", "").try_cast("int")
+    """Whole number or null; '3.0' and '3e0' count as 3, '3.5' as no whole number."""
+    plain = F.regexp_replace(value.cast("string"), r"\.0*\s*$", "").try_cast("int")
+    number = parse_number(value)
+    return F.coalesce(plain, F.when(number == F.floor(number), number.try_cast("int")))
 
 
 def valid_date(year: Column, month: Column, day: Column) -> Column:

@@ -133,43 +133,40 @@ def forecast_moving_average(
     return reduce(DataFrame.unionByName, parts)
 
 
-# --- least squares from sums of products ----------------------------------------------------
+# --- least squares from centred moments ----------------------------------------------------
 
 def product_sums(rows: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
-    """Per group: n, sums, cross products and products with y, as arrays."""
+    """Per group: n, means, and the moments around them of the regressors and with y, as arrays."""
     x = [F.col(c).cast("double") for c in xs]
     target = F.col(y).cast("double")
     aggregates = [
         F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum(target).alias("sum_y"),
-        F.array(*[F.sum(a) for a in x]).alias("sum_x"),
+        F.avg(target).alias("mean_y"),
+        F.array(*[F.avg(a) for a in x]).alias("mean_x"),
         F.array(*[
-            F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))
-        ]).alias("sum_xx"),
-        F.array(*[F.sum(a * target) for a in x]).alias("sum_xy"),
+            F.covar_pop(x[i], x[j]) for i in range(len(x)) for j in range(i, len(x))
+        ]).alias("moment_xx"),
+        F.array(*[F.covar_pop(a, target) for a in x]).alias("moment_xy"),
     ]
     return rows.groupBy(*by).agg(*aggregates) if by else rows.agg(*aggregates)
 
 
-def _normal_solution(n, sum_y, sum_x, sum_xx, sum_xy):
-    k = len(sum_x)
+def _normal_solution(n, mean_y, mean_x, moment_xx, moment_xy):
+    k = len(mean_x)
     upper = np.zeros((k, k))
-    upper[np.triu_indices(k)] = sum_xx
+    upper[np.triu_indices(k)] = moment_xx
     full = upper + np.triu(upper, 1).T
-    mean_x, mean_y = np.asarray(sum_x) / n, sum_y / n
-    centred = full - n * np.outer(mean_x, mean_x)
-    moment = np.asarray(sum_xy) - n * mean_x * mean_y
-    slopes, _, rank, _ = np.linalg.lstsq(centred, moment, rcond=1e-10)
-    return np.concatenate([[mean_y - mean_x @ slopes], slopes]), rank
+    slopes, _, rank, _ = np.linalg.lstsq(full, np.asarray(moment_xy), rcond=1e-10)
+    return np.concatenate([[mean_y - np.asarray(mean_x) @ slopes], slopes]), rank
 
 
 @F.pandas_udf(COEFFICIENTS)
 def solve_least_squares(
-    n: pd.Series, sum_y: pd.Series, sum_x: pd.Series, sum_xx: pd.Series, sum_xy: pd.Series
+    n: pd.Series, mean_y: pd.Series, mean_x: pd.Series, moment_xx: pd.Series, moment_xy: pd.Series
 ) -> pd.Series:
     """[intercept, slopes...] per row; the smallest solution when the system is singular."""
     return pd.Series([
-        _normal_solution(*row)[0].tolist() for row in zip(n, sum_y, sum_x, sum_xx, sum_xy)
+        _normal_solution(*row)[0].tolist() for row in zip(n, mean_y, mean_x, moment_xx, moment_xy)
     ])
 
 
@@ -190,10 +187,10 @@ def solve_stable(lags: Sequence[int]):
 
     @F.pandas_udf(COEFFICIENTS)
     def solve(
-        n: pd.Series, sum_y: pd.Series, sum_x: pd.Series, sum_xx: pd.Series, sum_xy: pd.Series
+        n: pd.Series, mean_y: pd.Series, mean_x: pd.Series, moment_xx: pd.Series, moment_xy: pd.Series
     ) -> pd.Series:
         found = []
-        for row in zip(n, sum_y, sum_x, sum_xx, sum_xy):
+        for row in zip(n, mean_y, mean_x, moment_xx, moment_xy):
             beta, rank = _normal_solution(*row)
             usable = rank == len(row[2]) and row[0] > len(row[2]) + 1
             usable = usable and np.all(np.isfinite(beta))
@@ -204,7 +201,7 @@ def solve_stable(lags: Sequence[int]):
     return solve
 
 
-SUMS = ["n", "sum_y", "sum_x", "sum_xx", "sum_xy"]
+SUMS = ["n", "mean_y", "mean_x", "moment_xx", "moment_xy"]
 
 
 def fit_lagged_regression(

@@ -63,26 +63,29 @@ def _feature_values(position: int) -> Column:
     return F.transform("x", lambda row: row[position])
 
 
+def _squared_around(centre: Column):
+    return lambda v: (v - centre) * (v - centre)
+
+
 def fit_sequence_scaler(windows: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, min, max, mean, std_pop) over all samples and steps, and for the target 'y'.
 
-    Each window is reduced to a few numbers per feature before the aggregation, so windows are
-    never exploded.
+    Each window is reduced to its mean and its squares around that mean, and the windows' means are
+    combined as weighted squares around theirs, so large values lose nothing. Windows are never
+    exploded, and all of a table have the same length.
     """
     zero = F.lit(0.0)
     steps = F.size("x")
     aggregates = []
     for i, name in enumerate(features):
         values = _feature_values(i)
-        total = F.sum(F.aggregate(values, zero, lambda a, v: a + v))
-        squares = F.sum(F.aggregate(values, zero, lambda a, v: a + v * v))
+        mean = F.aggregate(values, zero, lambda a, v: a + v) / steps
+        inside = F.aggregate(F.transform(values, _squared_around(mean)), zero, lambda a, v: a + v) / steps
         low, high = F.min(F.array_min(values)), F.max(F.array_max(values))
-        mean = total / F.sum(steps)
-        spread = F.greatest(squares / F.sum(steps) - mean * mean, zero)
         aggregates.append(F.struct(
-            low.alias("min"), high.alias("max"), mean.alias("mean"),
+            low.alias("min"), high.alias("max"), F.avg(mean).alias("mean"),
             # Rounding must not turn a constant feature into one with a tiny spread.
-            F.when(low == high, 0.0).otherwise(F.sqrt(spread)).alias("std_pop"),
+            F.when(low == high, 0.0).otherwise(F.sqrt(F.avg(inside) + F.var_pop(mean))).alias("std_pop"),
         ).alias(name))
     aggregates.append(F.struct(
         F.min("y").alias("min"), F.max("y").alias("max"), F.avg("y").alias("mean"),

@@ -24,11 +24,22 @@ def _before(df: DataFrame, coarse: str, fine: Sequence[str], positions) -> list[
     """Per position, a column that is true for the rows ahead of it in the order.
 
     Only the key found at each position comes to the driver. Rows are compared with it as a
-    literal, so wide rows are never shuffled and a filter on the split reaches the scan.
+    literal, so wide rows are never shuffled and a filter on the split reaches the scan. Rows with
+    a null in the order have no place in it: they are not counted and are ahead of nothing.
     """
-    cuts = kth_keys(df, coarse, fine, positions).first()
     columns = [coarse, *fine]
-    return [F.lit(True) if key is None else _ahead(columns, key) for key in cuts]
+    cuts = kth_keys(df.dropna(subset=columns), coarse, fine, positions).first()
+    placed = F.lit(True)
+    for c in columns:
+        placed = placed & F.col(c).isNotNull()
+    return [placed if key is None else placed & _ahead(columns, key) for key in cuts]
+
+
+def _placed(label: Column, columns: Sequence[str]) -> Column:
+    """``label`` for rows that have a place in the order, null for those with a null in it."""
+    for c in columns:
+        label = F.when(F.col(c).isNotNull(), label)
+    return label
 
 
 def split_column(
@@ -36,7 +47,8 @@ def split_column(
 ) -> Column:
     """Label column for any table with the same keys as ``df``.
 
-    train = first floor(n*r1) rows by date, val = next floor(n*r2), test = the rest.
+    train = first floor(n*r1) rows by date, val = next floor(n*r2), test = the rest; n counts the
+    rows with all keys, and the others get a null.
     """
     first, second = float(ratios[0]), float(ratios[1])
 
@@ -45,7 +57,7 @@ def split_column(
         return [train, train + F.floor(n * F.lit(second))]
 
     in_train, in_val = _before(df, date, ties, positions)
-    return F.when(in_train, "train").when(in_val, "val").otherwise("test")
+    return _placed(F.when(in_train, "train").when(in_val, "val").otherwise("test"), [date, *ties])
 
 
 def chronological_split(
@@ -58,7 +70,8 @@ def two_way_split(
     df: DataFrame, date: str, ties: Sequence[str], train_ratio: float = 0.8
 ) -> DataFrame:
     (in_train,) = _before(df, date, ties, lambda n: [F.floor(n * F.lit(float(train_ratio)))])
-    return df.withColumn("split", F.when(in_train, "train").otherwise("test"))
+    label = F.when(in_train, "train").otherwise("test")
+    return df.withColumn("split", _placed(label, [date, *ties]))
 
 
 def tail_validation(

@@ -156,12 +156,8 @@ def event_rolling(
 # --- panels ---------------------------------------------------------------------------------
 
 def rolling_std(column: str, frame: WindowSpec) -> Column:
-    """Sample standard deviation from sums; exact for counts, null below two values."""
-    x = F.col(column).cast("double")
-    n = F.count(column).over(frame)
-    squares, total = F.sum(x * x).over(frame), F.sum(x).over(frame)
-    spread = F.greatest(squares - total * total / n, F.lit(0.0))
-    return F.when(n > 1, F.sqrt(spread / (n - 1)))
+    """Sample standard deviation from centred squares; null below two values."""
+    return F.stddev_samp(F.col(column).cast("double")).over(frame)
 
 
 def seasonal_lag(
