@@ -200,7 +200,7 @@ Interpretation string"""
 
 @query("h7_span_ablation", DATA)
 def h7(s, d):
-    return ablate.span_ablation(full_panel(s, d), "region_txt", "week_start")
+    return ablate.span_ablation(full_panel(s, d), "region_txt", "week_start", report_skipped=True)
 
 
 @query("h8_length_ablation", DATA)

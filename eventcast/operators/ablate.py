@@ -20,19 +20,19 @@ from eventcast.operators.regress import (
 from eventcast.operators.sequences import keep_features, to_vectors
 from eventcast.session import result_table
 
-# Smallest panel and window counts a study accepts.
+# Smallest panel and window counts for which the recent span is studied.
 MIN_ROWS, MIN_TRAIN, MIN_TEST = 100, 50, 10
 BASELINE = "Baseline (All Features)"
 TWO_WAY = (0.70, 0.0)
 
 # The regressor settings compared with each other, in order.
 SETTINGS = [
-    Regressor("boosted-depth3", "boosted", {"maxDepth": 3}, "reference depth"),
+    Regressor("boosted-depth3", "boosted", {"maxDepth": 3}, "three levels per tree"),
     Regressor("linear-l2", "linear", {"regParam": 0.1}, "ridge penalty"),
     Regressor("boosted-depth2", "boosted", {"maxDepth": 2}, "shallower trees"),
-    Regressor("linear-plain", "linear", {"regParam": 0.0}, "no regularization"),
-    Regressor("boosted-few", "boosted", {"maxIter": 5}, "smaller capacity"),
-    Regressor("boosted-many", "boosted", {"maxIter": 20}, "larger capacity"),
+    Regressor("linear-plain", "linear", {"regParam": 0.0}, "penalty 0"),
+    Regressor("boosted-few", "boosted", {"maxIter": 5}, "five trees"),
+    Regressor("boosted-many", "boosted", {"maxIter": 20}, "twenty trees"),
     Regressor("linear-l1l2", "linear", {"regParam": 0.1, "elasticNetParam": 0.5, "solver": "auto"}, "mixed penalty"),
     Regressor("boosted-slow", "boosted", {"stepSize": 0.05}, "smaller step"),
 ]
@@ -98,17 +98,19 @@ def feature_ablation(
 
 
 def _data_row(panel: DataFrame, by: str, time: str, target: str, length: int, name: str,
-              regressor: Regressor) -> tuple | None:
-    """(name, samples, sequences, RMSE, MAE, R2), or None when there is too little data."""
+              regressor: Regressor, least: Sequence[int] = (0, 1, 1)) -> tuple:
+    """(name, samples, sequences, RMSE, MAE, R2); the figures are null with fewer than ``least``
+    rows, train windows or test windows."""
     samples = panel.count()
-    if samples < MIN_ROWS:
-        return None
+    nothing = (None, None, None)
+    if samples < least[0]:
+        return name, samples, 0, *nothing
     windows, _, _ = model_windows(panel, by, time, target, length, ratios=TWO_WAY)
     vectors = to_vectors(windows).drop("x")
     with kept(vectors):
         sizes = {r["split"]: r["count"] for r in vectors.groupBy("split").count().collect()}
-        if sizes.get("train", 0) < MIN_TRAIN or sizes.get("test", 0) < MIN_TEST:
-            return None
+        if sizes.get("train", 0) < least[1] or sizes.get("test", 0) < least[2]:
+            return name, samples, sum(sizes.values()), *nothing
         model = train_regressor(vectors, regressor)
         m = evaluate_regressor(model, vectors, name).first()
         return name, samples, sum(sizes.values()), m["RMSE"], m["MAE"], m["R2"]
@@ -121,19 +123,23 @@ def span_ablation(
     panel: DataFrame, by: str, time: str, target: str = "attack_count",
     length: int = S.SEQUENCE_LENGTH, months: int = 60,
     regressor: Regressor = Regressor("Windowed linear"),
+    least: Sequence[int] = (MIN_ROWS, MIN_TRAIN, MIN_TEST), report_skipped: bool = False,
 ) -> DataFrame:
-    """Full history against the last ``months``; no rows when the recent part is too small."""
+    """Full history against the last ``months``. A recent part with fewer than ``least`` rows, train
+    windows or test windows has nothing to compare: no rows, or with ``report_skipped`` both rows,
+    the recent one without figures and marked as skipped."""
     full = _data_row(panel, by, time, target, length, "Full History", regressor)
     recent = _data_row(recent_span(panel, time, months), by, time, target, length,
-                       f"Recent Only (Last {months // 12} Years)", regressor)
-    rows = [full, recent] if full and recent else []
+                       f"Recent Only (Last {months // 12} Years)", regressor, least)
+    rows = [full, recent] if report_skipped or recent[3] is not None else []
     results = result_table(panel.sparkSession, rows, _DATA_SCHEMA)
     base = results.filter(F.col("Configuration") == "Full History").agg(F.min("RMSE")).scalar()
     impact = F.col("RMSE") - base
     return results.withColumns({
         "RMSE_Impact": impact,
         "Interpretation": F.when(F.col("Configuration") == "Full History", "Baseline")
-        .when(impact < 0, "Recent patterns").otherwise("Long history needed"),
+        .when(F.col("RMSE").isNull(), "Skipped: too few rows").when(impact < 0, "Recent patterns")
+        .otherwise("Long history needed"),
     })
 
 
@@ -144,15 +150,15 @@ def length_ablation(
 ) -> DataFrame:
     """Window lengths compared with the study's own baseline length."""
     rows = [
-        r for n in lengths
-        if (r := _data_row(panel, by, time, target, n, f"Sequence Length {n}", regressor))
+        _data_row(panel, by, time, target, n, f"Sequence Length {n}", regressor) for n in lengths
     ]
     results = result_table(panel.sparkSession, rows, _DATA_SCHEMA)
     label = f"Sequence Length {baseline}"
     base = results.filter(F.col("Configuration") == label).agg(F.min("RMSE")).scalar()
     return results.withColumns({
         "RMSE_Impact": F.col("RMSE") - base,
-        "Interpretation": F.when(F.col("Configuration") == label, "Baseline").otherwise(""),
+        "Interpretation": F.when(F.col("RMSE").isNull(), "Skipped: no windows")
+        .when(F.col("Configuration") == label, "Baseline").otherwise(""),
     })
 
 

@@ -14,17 +14,18 @@ from eventcast.session import stage
 
 def fit_word_vectors(
     tokens: DataFrame, column: str, size: int = 100, window: int = 5, min_count: int = 1,
-    partitions: int | None = None, iterations: int = 1, seed: int = S.SEED,
+    partitions: int = 4, iterations: int = 1, seed: int = S.SEED,
 ) -> Word2VecModel:
-    """Skip-gram vectors, trained on all partitions of the input at once.
+    """Skip-gram vectors; texts are trained on whole, however long.
 
-    Only the vocabulary and its vectors reach the driver; ``min_count`` bounds both on large
-    corpora.
+    ``partitions`` copies of the vectors are trained and averaged, so it stays small. Only the
+    vocabulary and its vectors reach the driver; ``min_count`` bounds both on large corpora.
     """
-    partitions = partitions or tokens.rdd.getNumPartitions()
+    longest = tokens.agg(F.coalesce(F.max(F.size(column)), F.lit(1))).first()[0]
     return Word2Vec(
         inputCol=column, outputCol=f"{column}_vector", vectorSize=size, windowSize=window,
         minCount=min_count, numPartitions=partitions, maxIter=iterations, seed=seed,
+        maxSentenceLength=max(1, longest),
     ).fit(tokens)
 
 

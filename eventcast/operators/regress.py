@@ -32,7 +32,7 @@ class Regressor:
 
     def estimator(self):
         if self.family == "linear":
-            base = {"regParam": 0.01, "elasticNetParam": 0.0, "solver": "normal"}
+            base = {"regParam": 0.01, "elasticNetParam": 0.0, "solver": "auto"}
             return LinearRegression(featuresCol="features", labelCol="y", **(base | self.settings))
         if self.family == "boosted":
             base = {"maxIter": 10, "maxDepth": 3, "seed": S.SEED}
