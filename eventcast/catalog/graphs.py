@@ -9,7 +9,7 @@ from eventcast.catalog import sqltext as Q
 from eventcast.catalog.registry import query
 from eventcast.operators import encode, evaluate, graph, regress, split
 from eventcast.operators.attach import attach
-from eventcast.session import stage
+from eventcast.session import stage, stage_table
 from eventcast.sources import tables as T
 
 NAMED = """named AS (SELECT *, 'Date|' || strftime(date, '%Y-%m-%d') AS dn,
@@ -20,7 +20,8 @@ nodes AS (SELECT DISTINCT dn AS id, 'Date' AS node_type FROM named UNION ALL
 edges AS (SELECT DISTINCT dn AS src, ln AS dst FROM named UNION ALL SELECT DISTINCT ln, tn FROM named),
 links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 deg AS (SELECT src AS id, count(*) AS degree FROM links GROUP BY 1)"""
-CENTRE = "Date|1996-06-03"
+# The smallest date node, from the data.
+CENTRE = "(SELECT min(dn) FROM named)"
 
 
 def _graph(s, d):
@@ -28,6 +29,11 @@ def _graph(s, d):
     return graph.build_nodes(events), graph.build_edges(events)
 
 
+def _centre(edges):
+    """The smallest date node."""
+    return edges.filter(F.col("src").startswith("Date|")).agg(F.min("src")).first()[0]
+
+
 def _edges(s, d):
     return graph.build_edges(T.featured_incidents(s, d)).select("src", "dst")
 
@@ -59,27 +65,29 @@ def n4(s, d):
 
 
 def _reached(radius: int) -> str:
-    return f"""reach(id, hop) AS (SELECT '{CENTRE}', 0 WHERE EXISTS (SELECT 1 FROM links WHERE src = '{CENTRE}')
+    return f"""reach(id, hop) AS (SELECT {CENTRE}, 0
       UNION SELECT l.dst, r.hop + 1 FROM reach r JOIN links l ON l.src = r.id WHERE r.hop < {radius}),
     ego AS (SELECT DISTINCT id FROM reach)"""
 
 
 @query("n5_ego_nodes_1", "id string", f"WITH RECURSIVE {GRAPH}, {_reached(1)} SELECT id FROM ego")
 def n5(s, d):
-    return graph.ego_nodes(_edges(s, d), CENTRE, 1)
+    edges = stage_table(_edges(s, d))
+    return graph.ego_nodes(edges, _centre(edges), 1)
 
 
 @query("n5_ego_nodes_2", "id string", f"WITH RECURSIVE {GRAPH}, {_reached(2)} SELECT id FROM ego")
 def n5_two(s, d):
-    return graph.ego_nodes(_edges(s, d), CENTRE, 2)
+    edges = stage_table(_edges(s, d))
+    return graph.ego_nodes(edges, _centre(edges), 2)
 
 
 @query("n6_induced_subgraph", "src string, dst string",
        f"""WITH RECURSIVE {GRAPH}, {_reached(2)} SELECT src, dst FROM edges
        WHERE src IN (SELECT id FROM ego) AND dst IN (SELECT id FROM ego)""")
 def n6(s, d):
-    edges = stage(_edges(s, d))
-    return graph.induced_subgraph(edges, graph.ego_nodes(edges, CENTRE, 2))
+    edges = stage_table(_edges(s, d))
+    return graph.induced_subgraph(edges, graph.ego_nodes(edges, _centre(edges), 2))
 
 
 @query("n7_degree_centrality", "id string, degree long, centrality r6",
@@ -157,7 +165,8 @@ def n10(s, d):
     codes = encode.fit_label_codes(events, ["attacktype1_txt"])
     rows = attach(encode.apply_label_codes(events, codes, ["attacktype1_txt"]), places, "location_node")
     numeric = ["nkill", "nwound", "latitude", "longitude", "near_killed", "near_wounded"]
-    rows = encode.apply_scaler(rows, encode.fit_scaler(rows, numeric), numeric, "standard")
+    seen = encode.fit_scaler(rows.filter(F.col("split") == "train"), numeric)
+    rows = encode.apply_scaler(rows, seen, numeric, "standard")
     rows = encode.one_hot(rows, encode.category_levels(rows, ["weaptype1_txt", "targtype1_txt"]))
     hot = [c for c in rows.columns if c.startswith(("weaptype1_txt_", "targtype1_txt_"))]
     vectors = VectorAssembler(inputCols=[*numeric, *hot], outputCol="features").transform(rows)
@@ -170,4 +179,4 @@ def n10(s, d):
 
 @query("n10_classification_scores", "accuracy r6, precision r6, recall r6, f1 r6")
 def n10_scores(s, d):
-    return evaluate.classification_scores(evaluate.confusion_matrix(n10(s, d), "truth", "predicted"))
+    return evaluate.classification_scores(evaluate.label_pairs(n10(s, d), "truth", "predicted"))

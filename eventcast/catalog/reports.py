@@ -260,6 +260,11 @@ weighted AS (SELECT 'weighted avg' AS label, sum(precision * support) / sum(supp
   sum(recall * support) / sum(support) AS recall, sum(f1 * support) / sum(support) AS f1, sum(support) AS support FROM classes)"""
 
 
+def _pairs(s, d):
+    events = T.incidents(s, d, casualties=False).withColumn("predicted_label", predicted_type())
+    return evaluate.label_pairs(events, "attacktype1_txt", "predicted_label")
+
+
 def _matrix(s, d):
     events = T.incidents(s, d, casualties=False).withColumn("predicted_label", predicted_type())
     return evaluate.confusion_matrix(events, "attacktype1_txt", "predicted_label")
@@ -269,7 +274,7 @@ def _matrix(s, d):
        f"""WITH {REPORT} SELECT (SELECT sum(n) FILTER (WHERE truth = predicted) / sum(n) FROM matrix) AS accuracy,
        precision, recall, f1 FROM weighted""")
 def h15(s, d):
-    return evaluate.classification_scores(_matrix(s, d))
+    return evaluate.classification_scores(_pairs(s, d))
 
 
 @query("h16_confusion", "truth string, predicted string, n long", f"WITH {PAIRS} SELECT * FROM matrix")
@@ -287,4 +292,4 @@ def h17(s, d):
        f"""WITH {REPORT} SELECT * FROM classes UNION ALL
        SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM classes UNION ALL SELECT * FROM weighted""")
 def h18(s, d):
-    return evaluate.class_report(_matrix(s, d))
+    return evaluate.class_report(_pairs(s, d))

@@ -49,14 +49,10 @@ def e1(s, d):
     return windows(s, d).withColumn("x", _whole("x"))
 
 
-@query("e2_sequences_by_group", "country_txt string, n_samples long, first_target date, last_target date",
-       f"""WITH {Q.weekly('country_txt')}, {_windows_sql(30)} SELECT region_txt AS country_txt, count(*) AS n_samples,
-       min(target_date) AS first_target, max(target_date) AS last_target FROM samples GROUP BY 1""")
+@query("e2_sequences_by_group", "country_txt string, target_date date, x string, y double",
+       f"""WITH {Q.weekly('country_txt')}, {_windows_sql(30)} SELECT region_txt AS country_txt, target_date, x, y FROM samples""")
 def e2(s, d):
-    return windows(s, d, grain="country_txt").groupBy("country_txt").agg(
-        F.count("y").alias("n_samples"), F.min("target_date").alias("first_target"),
-        F.max("target_date").alias("last_target"),
-    )
+    return windows(s, d, grain="country_txt").withColumn("x", _whole("x"))
 
 
 LAGGED = """, lagged AS (SELECT * FROM (SELECT *, lag(attack_count, 52) OVER (PARTITION BY series ORDER BY week_start) AS l52
@@ -96,17 +92,18 @@ def e5(s, d):
     ).withColumn("x", _whole("x"))
 
 
-@query("u1_combine_sequences", "series string, target_date date, y double",
-       f"""WITH {Q.weekly()}, {_windows_sql(30)}, b AS (SELECT region_txt AS series, target_date, y FROM samples)
-       SELECT * FROM b UNION ALL SELECT 'again ' || series, target_date, y FROM b""")
+@query("u1_combine_sequences", "series string, target_date date, x string, y double",
+       f"""WITH {Q.weekly()}, {_windows_sql(30)}, b AS (SELECT region_txt AS series, target_date, x, y FROM samples)
+       SELECT * FROM b UNION ALL SELECT 'again ' || series, target_date, x, y FROM b""")
 def u1(s, d):
-    rows = windows(s, d).select(F.col("region_txt").alias("series"), "target_date", "y")
-    return E.combine_sequences([rows, rows.withColumn("series", F.concat(F.lit("again "), "series"))])
+    rows = windows(s, d).select(F.col("region_txt").alias("series"), "target_date", "x", "y")
+    both = E.combine_sequences([rows, rows.withColumn("series", F.concat(F.lit("again "), "series"))])
+    return both.withColumn("x", _whole("x"))
 
 
 # --- encoders -------------------------------------------------------------------------------
 
-ENCODED = ["country_txt", "region_txt", "city", "attacktype1_txt"]
+ENCODED = S.TEXT_COLUMNS
 CODES = "codes AS (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, {c} AS value, row_number() OVER (ORDER BY {c}) - 1 AS code
     FROM (SELECT DISTINCT {c} FROM inc)""" for c in ENCODED) + ")"
@@ -148,16 +145,18 @@ def e9(s, d):
 
 
 # One position more than there are values: the one for nulls.
-@query("e9_one_hot_vectors", "eventid long, position int, size int",
-       f"""WITH {Q.INC} SELECT eventid, dense_rank() OVER (ORDER BY city) - 1 AS position,
+@query("e9_one_hot_vectors", "eventid long, position int, value double, size int",
+       f"""WITH {Q.INC} SELECT eventid, dense_rank() OVER (ORDER BY city) - 1 AS position, 1.0 AS value,
        (SELECT count(DISTINCT city) + 1 FROM inc) AS size FROM inc""")
 def e9_vectors(s, d):
     events = T.incidents(s, d, casualties=False).select("eventid", "city")
     encoded, model = encode.one_hot_vectors(events, ["city"])
-    # The vectors stay sparse: their one set position is the index of the value.
+    # Read from the vector itself, by its text form "(size,[positions],[values])", so it stays sparse.
+    text = F.col("city_vec").cast("string")
+    part = lambda pattern: F.regexp_extract(text, pattern, 1)
     return encoded.select(
-        "eventid", F.col("city_index").alias("position"),
-        F.lit(model.stages[-1].categorySizes[0]).alias("size"),
+        "eventid", part(r"^\((\d+),").alias("size"), part(r",\[(\d+)\],").alias("position"),
+        part(r",\[([0-9.]+)\]\)$").alias("value"),
     )
 
 
@@ -271,10 +270,10 @@ def _ranked(source: str, order: str) -> str:
     s AS (SELECT *, CASE WHEN pos < t THEN 'train' WHEN pos < v THEN 'val' ELSE 'test' END AS split FROM c)"""
 
 
-@query("e16_chronological_split", "region_txt string, target_date date, y double, split string",
+@query("e16_chronological_split", "region_txt string, target_date date, x string, y double, split string",
        f"WITH {Q.weekly()}, {_windows_sql(30)}, {_ranked('samples', 'target_date, region_txt')} SELECT * FROM s")
 def e16(s, d):
-    return split.chronological_split(windows(s, d), "target_date", ["region_txt"])
+    return split.chronological_split(windows(s, d), "target_date", ["region_txt"]).withColumn("x", _whole("x"))
 
 
 @query("e16_event_split", "eventid long, date date, split string",

@@ -26,7 +26,7 @@ def a1(s, d):
     path = new_path(s, "raw")
     raw = T.raw_incidents(s, d).withColumn("summary", F.lit(None).cast("string"))
     files.write_csv(raw.select(*S.RAW_INCIDENT_SCHEMA.fieldNames()), path, "ISO-8859-1")
-    return files.read_raw_csv(s, path)
+    return files.read_raw_csv(s, path, multi_line=False)  # no field here spans lines
 
 
 @query("a2_stage_write", "region_txt string, date date, eventid long, casualties double",
@@ -37,20 +37,20 @@ def a2(s, d):
     return files.read_stage(s, path)
 
 
-@query("a3_stage_read", "date date, eventid long", f"WITH {Q.FEAT} SELECT date, eventid FROM feat WHERE region_txt = 'ASIA'")
+@query("a3_stage_read", "region_txt string, date date, eventid long", f"WITH {Q.FEAT} SELECT region_txt, date, eventid FROM feat")
 def a3(s, d):
     path = new_path(s, "stage")
     files.write_stage(T.incidents(s, d, casualties=False), path, ["region_txt"])
-    return files.read_stage(s, path).filter(F.col("region_txt") == "ASIA").select("date", "eventid")
+    return files.read_stage(s, path).select("region_txt", "date", "eventid")
 
 
-@query("a4_window_store", "region_txt string, target_date date, x string, y double",
+@query("a4_window_store", "region_txt string, target_date date, x string, y double, split string",
        f"""WITH {Q.weekly()}, {_windows_sql(30)}, {_ranked('samples', 'target_date, region_txt')}
-       SELECT * FROM s WHERE split = 'test'""")
+       SELECT * FROM s""")
 def a4(s, d):
     path = new_path(s, "windows")
     files.write_windows(split.chronological_split(windows(s, d), "target_date", ["region_txt"]), path)
-    return files.read_stage(s, path).filter(F.col("split") == "test").withColumn("x", _whole("x"))
+    return files.read_stage(s, path).withColumn("x", _whole("x"))
 
 
 @query("a5_predictions_sink", "actual double, predicted double",

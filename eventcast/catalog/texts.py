@@ -98,13 +98,14 @@ def t7(s, d):
 
 @query("j6_embedding_lookup", "eventid long, city string, size int, is_zero boolean",
        f"""WITH {Q.INC} SELECT eventid, city, 100 AS size,
-       city NOT IN (SELECT city FROM inc WHERE eventid % 2 = 0) AS is_zero FROM inc""")
+       false AS is_zero FROM inc UNION ALL SELECT -eventid, 'no ' || city, 100, true FROM inc""")
 def j6(s, d):
-    # One token per event, as a place name; every vector is looked up by the place.
+    # One token per event, as a place name; every vector is looked up by the place, and so are
+    # places that no event has.
     events = T.incidents(s, d, casualties=False).select("eventid", "city")
-    known = events.filter(F.col("eventid") % 2 == 0).select(F.array("city").alias("tokens"))
-    model = embed.fit_word_vectors(known, "tokens")
-    found = embed.attach_vectors(events, model, "city")
+    model = embed.fit_word_vectors(events.select(F.array("city").alias("tokens")), "tokens")
+    absent = events.select((-F.col("eventid")).alias("eventid"), F.concat(F.lit("no "), "city").alias("city"))
+    found = embed.attach_vectors(events.unionByName(absent), model, "city")
     return found.withColumns({
         "size": F.size("vector"), "is_zero": F.forall("vector", lambda v: v == 0),
     })

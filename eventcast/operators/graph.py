@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventcast.functions.calendar import date_text
 from eventcast.operators.attach import attach
 from eventcast.operators.rank import global_rank
-from eventcast.session import stage
+from eventcast.session import stage, stage_table
 
 SEPARATOR = "|"
 
@@ -100,7 +100,7 @@ def ego_nodes(edges: DataFrame, centre: str, radius: int = 1) -> DataFrame:
     One join and one ``distinct`` per hop; hubs are split by ``attach``, and each hop's result is
     staged so the plan does not grow with the radius.
     """
-    links = both_directions(edges)
+    links = stage_table(both_directions(edges))
     start = links.filter(F.col("src") == centre).select(F.col("src").alias("id")).distinct()
     reached = stage(start)
     frontier = reached
@@ -140,7 +140,7 @@ def propagate(
     and need one lookup per round. The sums combine before their shuffle, so hubs stay cheap on
     the receiving side; on the sending side ``attach`` splits them.
     """
-    links = stage(both_directions(edges))
+    links = stage_table(both_directions(edges))
     current = stage(
         nodes.select("id", *features)
         .join(links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_d")), "id", "left")

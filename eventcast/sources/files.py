@@ -17,8 +17,8 @@ def read_raw_csv(
 ) -> DataFrame:
     """Header CSV with an explicit schema.
 
-    ``multi_line`` lets quoted fields span lines but makes a file one task; turn it off for large
-    files without such fields so that Spark splits them.
+    ``multi_line`` lets quoted fields span lines, which free text may need, but makes a file one task; turn it
+    off for files without such fields so that Spark splits them.
     """
     return spark.read.csv(
         path, schema=schema, header=True, encoding=encoding, multiLine=multi_line, escape='"',
@@ -52,12 +52,12 @@ def write_predictions(df: DataFrame, path: str, actual: str, predicted: str) ->
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Metric name and value lines; one small file since a metric table has few rows."""
-    metrics_long(metrics).coalesce(1).write.mode("overwrite").json(path)
+    metrics_long(metrics).repartition(1).write.mode("overwrite").json(path)
 
 
 def write_results(results: DataFrame, path: str) -> None:
     """Result tables (a row per model or setting) as one CSV file."""
-    results.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    results.repartition(1).write.mode("overwrite").csv(path, header=True)
 
 
 def save_model(model, path: str) -> None:
