@@ -70,7 +70,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not ANCHOR.search(text):
         return spans
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             spans.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() <= 40:
@@ -317,7 +318,7 @@ def proper(text: str, start: int, kind: int, end: int) -> bool:
         return 0 < at and "." in value[at + 2:]
     if kind == 1:
         parts = value.split(".")
-        return len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
     if not re.fullmatch(r"[+(]?[0-9][0-9\x20().\-/]*[0-9]", value):
         return False
     if kind == 2:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ LEAST_BUCKETS = 128
 BUCKET_KEYS = 4_000_000  # fingerprints one bucket may hold before there are more buckets
 PASS_VARIANTS = 2_000_000  # variants a task holds at once
 BLOCK = 1 << 16  # shingles hashed at once
+CODE_BITS = 48  # the widest code
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -79,10 +81,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 
 class BallCode:
-    """A fixed linear code on 64-bit words: ``width`` bits, the lowest of which number the buckets."""
+    """A fixed linear code on 64-bit words with ``width`` bits.
+
+    A wider code extends a narrower one at its lower end: the leading bits of both are the same.
+    """
 
     def __init__(self, width: int, reach: int):
-        label = np.random.default_rng(20).integers(0, 1 << width, 64)
+        label = np.random.default_rng(20).integers(0, 1 << CODE_BITS, 64) >> (CODE_BITS - width)
         table = np.zeros((8, 256), np.int64)
         for byte in range(8):
             for bit in range(8):
@@ -118,6 +123,11 @@ def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def ball_size(reach: int) -> int:
+    """Words within ``reach`` bits of a 64-bit word."""
+    return sum(comb(64, k) for k in range(reach + 1))
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
@@ -127,8 +137,8 @@ def bucket_links(keys: np.ndarray, bucket: int, bits: int, radius: int) -> tuple
     keys = np.unique(keys)
     reach = radius // 2
     extra = 0
-    while (len(keys) * 2081 >> (bits + extra)) > PASS_VARIANTS:
-        extra += 1
+    while (len(keys) * ball_size(reach) >> (bits + extra)) > PASS_VARIANTS:
+        extra += 1  # the variants of the bucket are made in several passes, one per value of these further code bits
     code = BallCode(bits + extra, reach)
     words = code.of(keys)
     order = np.argsort(words, kind="stable")
@@ -138,7 +148,7 @@ def bucket_links(keys: np.ndarray, bucket: int, bits: int, radius: int) -> tuple
     sorted_codes = code.codes[by_code]
     a, b = [], []
     for sub in range(1 << extra):
-        target = bucket | sub << bits
+        target = bucket << extra | sub
         variants, owners = [], []
         for level, own in zip(levels.tolist(), members):
             wanted = level ^ target
@@ -181,7 +191,7 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     reach = radius // 2
     bits = LEAST_BUCKETS.bit_length() - 1
     total = nodes.count()
-    while total * min(1.0, 2081 / (1 << bits)) > BUCKET_KEYS:
+    while total * min(1.0, ball_size(reach) / (1 << bits)) > BUCKET_KEYS:
         bits += 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

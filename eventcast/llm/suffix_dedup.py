@@ -32,6 +32,7 @@ CHUNK = 1 << 20  # window starts looked at together
 SHARD_BYTES = 2 << 20
 SPLIT_KINDS = 2000  # different segments of one anchor in one shard
 MERGE_WINDOWS = 1 << 20  # window fingerprints per merge task
+HOT_SHARE = 1000  # keys with at least this part of all rows are met by broadcast, so at most as many
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -260,18 +261,31 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         cut, "row long, key long, copies long, parts long, sub long, start long, n long, content binary")
 
 
+def meet(rows: DataFrame, counted: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` whose key is in ``counted`` (unique keys with their number of rows), with its columns.
+
+    Keys with at least 1/HOT_SHARE of all ``total`` rows are broadcast, at most HOT_SHARE of them, so that their
+    rows stay where they are; only the rows of other keys are shuffled. Both tables are read twice and should
+    be written ones.
+    """
+    hot = F.broadcast(counted.filter(F.col(count) * HOT_SHARE >= total))
+    light = rows.join(hot.select(*on), on, "left_anti").join(counted, on)
+    return rows.join(hot, on).unionByName(light)
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, start, n): runs of window starts that repeat, for numbered documents (_row, text)."""
     found = anchored(docs, length)
     same = ["key", "seg", "n", "lead"]
     groups = stage_table(found.groupBy(*same).agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start")).alias("first")))
-    copied = groups.filter("copies > 1").select(*same)
-    marks = found.join(copied, same, "left_semi").select("row", "start", F.col("n").cast("long").alias("n"))
+    totals = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("groups")).first()
+    copied = groups.filter("copies > 1").select(*same, "copies")
+    marks = meet(found, copied, same, "copies", totals["rows"]).select("row", "start", F.col("n").cast("long").alias("n"))
 
-    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    mixed = stage_table(groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     parts = F.ceil(F.col("kinds") / SPLIT_KINDS)
-    wanted = stage_table(groups.join(mixed, "key").select(
+    wanted = stage_table(meet(groups, mixed, ["key"], "kinds", totals["groups"]).select(
         "key", "copies", parts.alias("parts"), F.pmod("seg", parts).alias("sub"),
         F.col("first.row").alias("row"), F.col("first.start").alias("start"), "n"))
     size = wanted.agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0)).alias("b"),

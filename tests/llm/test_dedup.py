@@ -104,7 +104,8 @@ def test_ball_links_find_every_pair(spark, monkeypatch):
     want = plain_groups(keys, 4)
     signed = [k - (1 << 64) if k >> 63 else k for k in keys]
     nodes = spark.createDataFrame([(k,) for k in signed], "fp long").repartition(5)
-    for limits in ((4_000_000, 2_000_000), (10, 500)):
+    # one pass a bucket; many buckets; several passes in each of many buckets
+    for limits in ((4_000_000, 2_000_000), (10, 500), (60, 1)):
         monkeypatch.setattr(simhash, "BUCKET_KEYS", limits[0])
         monkeypatch.setattr(simhash, "PASS_VARIANTS", limits[1])
         roots = {r["key"]: r["root"] for r in components.components(simhash.ball_links(nodes, 4)).collect()}

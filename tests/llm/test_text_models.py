@@ -111,6 +111,12 @@ def test_base_personal_data_equal_the_plain_patterns():
         assert sorted(pii.base_spans(text)) == plain_base(text, PII_PATTERNS, PII_TESTS), text
 
 
+def test_address_parts_of_any_length_and_digits_of_other_scripts():
+    text = "0" * 6000 + ".1.2.3"
+    assert pii.base_spans(text) == [(0, 1, len(text))]
+    assert not pii.proper("1.²2.3.4", 0, 1, 8) and pii.proper("1.22.3.4", 0, 1, 8)
+
+
 def test_chain_slope():
     rng = np.random.default_rng(1)
     scores, moves = rng.normal(size=(5, pii.TAGS, 2)), rng.normal(size=(pii.TAGS, pii.TAGS))
