@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventcast import schema as S
-from eventcast.operators.stats import exact_percentiles
+from eventcast.operators.stats import percentiles
 
 UNKNOWN = "Unknown"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -133,12 +133,12 @@ def rename_columns(df: DataFrame, names: Mapping[str, str] = S.LEGACY_NAMES) ->
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Null becomes the exact median of the column."""
-    filled = {}
-    for c in columns:
-        median = exact_percentiles(df, c, [0.5]).select("p0").scalar()
-        filled[c] = F.coalesce(F.col(c).cast("double"), median)
-    return df.withColumns(filled)
+    """Null becomes the exact median of the column; all columns are searched in the same passes."""
+    found = percentiles(df, columns, [0.5]).collect()  # one row per column
+    medians = {r["column_name"]: r["p0"] for r in found}
+    return df.withColumns({
+        c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c)).cast("double")) for c in columns
+    })
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventcast import schema as S
-from eventcast.operators.attach import attach
+from eventcast.operators.attach import attach, attach_codes
 from eventcast.operators.rank import global_rank
 from eventcast.session import stage
 
@@ -24,19 +24,14 @@ def fit_label_codes(df: DataFrame, columns: Sequence[str] = S.TEXT_COLUMNS) -> D
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
         for c in present
     ])
-    values = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct()
+    values = stage(df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct())
     ranked = global_rank(values, ["value"], ["column_name"], out="code", fix=stage)
     return stage(ranked.withColumn("code", F.col("code").cast("int")))
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds ``<column>_encoded``; codes come from ``fit_label_codes`` or a stored table."""
-    for c in [c for c in columns if c in df.columns]:
-        lookup = codes.filter(F.col("column_name") == c).select(
-            F.col("value").alias(c), F.col("code").alias(f"{c}_encoded")
-        )
-        df = attach(df, lookup, c, staged=True)
-    return df
+    return attach_codes(df, codes, {c: f"{c}_encoded" for c in columns})
 
 
 def decode_labels(df: DataFrame, codes: DataFrame, column: str, code: str, out: str) -> DataFrame:

@@ -8,13 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from eventcast.operators.attach import attach
 from eventcast.session import stage, stage_table
 
 SLOT = "_slot"
+SLOT_ROWS = 500_000
+LEAST_ROWS = 10_000
+_ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number within it below
 
 
 def _slots(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Range partitions by the number of rows: about ``SLOT_ROWS`` each, one per core for smaller tables."""
+    rows = df.count()
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // SLOT_ROWS))
+    return max(1, min(spread, -(-rows // LEAST_ROWS)))
+
+
+def _offsets(laid: DataFrame) -> DataFrame:
+    """(slot, rows in all slots before it); one row per slot."""
+    before = Window.orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    return laid.groupBy(SLOT).agg(F.count(F.lit(1)).alias("_rows")).select(
+        SLOT, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rank_before"))
 
 
 def running_total(
@@ -65,8 +79,27 @@ def global_rank(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "position",
     fix: Callable[[DataFrame], DataFrame] = stage_table,
 ) -> DataFrame:
-    """0-based position of every row in ``order`` inside ``by``."""
-    return running_total(df, order, by, out=out, fix=fix).withColumn(out, F.col(out) - 1)
+    """0-based position of every row in ``order`` inside ``by``.
+
+    ``(by, order)`` must be unique. The rows are shuffled once, into sorted ranges whose number follows the
+    number of rows, and every row is numbered inside its range while the layout is written (``fix``). The ranges'
+    sizes, one number per range, give the global position. A group's first position comes from one aggregate over the
+    layout, combined before its shuffle, so a group of any size spreads over as many ranges as it needs.
+    """
+    by, order = list(by), list(order)
+    laid = fix(
+        df.repartitionByRange(_slots(df), *by, *order).sortWithinPartitions(*by, *order)
+        .withColumn("_rank_id", F.monotonically_increasing_id())
+    )
+    laid = laid.withColumn(SLOT, F.shiftright("_rank_id", _ROW_BITS))
+    row = F.col("_rank_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = laid.join(F.broadcast(_offsets(laid)), SLOT).withColumn(out, F.col("_rank_before") + row)
+    if by:
+        # A struct as key, so that null is a group like any other.
+        placed = placed.withColumn("_rank_group", F.struct(*by))
+        starts = placed.groupBy("_rank_group").agg(F.min(out).alias("_rank_start"))
+        placed = attach(placed, starts, "_rank_group").withColumn(out, F.col(out) - F.col("_rank_start"))
+    return placed.select(*df.columns, out)
 
 
 def windowed_by_position(

@@ -5,48 +5,102 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventcast.operators.attach import attach
-from eventcast.operators.rank import running_total
 from eventcast.session import stage
 
 
-def exact_percentiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = ()
+CELLS = 4096
+LAST_CELL_ROWS = 1_000_000
+
+
+def _magnitude(v: Column) -> Column:
+    """Cell of a value by sign and logarithm: no order is broken, and a cell spans less than a factor of two."""
+    size = F.greatest(F.lit(-2000), F.least(F.lit(4000), F.floor(F.log(F.abs(v)) * 2))) + 2500
+    return F.when(F.isnan(v), 9000).when(v == 0, 0).otherwise(F.signum(v).cast("long") * size).cast("double")
+
+
+def _hits(cells: DataFrame, ranks: Column) -> DataFrame:
+    """Per wanted rank, the one cell that holds it; ``cells``: (…, _cell, _n, _low, _high, _below)."""
+    parts = [c for c in cells.columns if c not in ("_cell", "_n", "_low", "_high", "_below", "_ranks")]
+    upto = Window.partitionBy(*parts).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = cells.withColumn("_upto", F.col("_below") + F.sum("_n").over(upto))
+    first = F.col("_upto") - F.col("_n")
+    held = F.filter(ranks, lambda k: (k >= first) & (k < F.col("_upto")))
+    return placed.withColumn("_below", first).withColumn("_rank_at", F.explode(held))
+
+
+def percentiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact linearly interpolated percentiles ``p0, p1, ...`` per group.
+    """(by, column_name, p0, p1, ...): exact linearly interpolated percentiles of many columns per group.
 
-    Values are counted first, then located through a distributed running count, so neither a
-    large group nor many distinct values end up in one task.
+    Selection by narrowing; values are never put in order. The first pass counts the values of all columns and groups
+    in cells of sign and magnitude. Each further pass counts only the values inside the cells that hold a wanted rank, in
+    equal parts between their least and greatest value, until such a cell holds one value; once the cells hold few
+    rows altogether, their values are counted singly. A pass is one scan and shuffles counts of cells only. NaN comes
+    after infinity. A column or group without values has no row.
     """
     by = list(by)
-    value = F.col(column).cast("double").alias("_value")
-    counts = (
-        df.select(*by, value).filter(F.col("_value").isNotNull())
-        .groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running_total(counts, ["_value"], by, "_n", "_upto")
-    totals = ranked.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    if by:
-        ranked = attach(ranked, totals, by)
-        total = F.col("_total")
-    else:
-        total = totals.scalar()
+    group = F.struct(*by) if by else F.lit(0)
+    melted = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_value")) for c in columns]))
+    values = df.select(group.alias("_group"), melted).filter(F.col("_value").isNotNull())
+    bounds = (F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+
+    def ranks(total: Column) -> Column:
+        places = [(total - 1) * F.lit(float(p)) for p in probabilities]
+        return F.array_distinct(F.array(*[f(x) for x in places for f in (F.floor, F.ceil)]))
+
+    keys = ["_group", "column_name"]
+    cells = values.groupBy(*keys, _magnitude(F.col("_value")).alias("_cell")).agg(*bounds)
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    cells = cells.withColumns({"_total": total, "_below": F.lit(0).cast("long")})
+    state_columns = [*keys, "_total", "_rank_at", "_n", "_low", "_high", "_below"]
+    state = stage(_hits(cells, ranks(F.col("_total"))).select(*state_columns))
+    solved = None
+    while True:
+        single = F.col("_low") == F.col("_high")
+        open_ = state.filter(~single)
+        left = open_.agg(F.sum("_n")).first()[0]
+        solved = state.filter(single) if solved is None else solved.unionByName(state.filter(single))
+        if not left:
+            break
+        wanted = open_.groupBy(*keys).agg(F.collect_list(F.struct(
+            "_rank_at", "_total", F.col("_low").alias("_from"), F.col("_high").alias("_to"), "_below")).alias("_open"))
+        near = attach(values, wanted, keys, "inner")
+        inside = F.filter("_open", lambda t: F.col("_value").between(t["_from"], t["_to"]))
+        near = near.select(*keys, "_value", F.inline(inside))
+        cell = F.col("_value")
+        if left > LAST_CELL_ROWS:
+            cell = F.floor((cell - F.col("_from")) / (F.col("_to") - F.col("_from")) * CELLS).cast("double")
+        parts = near.groupBy(*keys, "_total", "_rank_at", cell.alias("_cell")).agg(*bounds, F.first("_below").alias("_below"))
+        parts = parts.withColumnRenamed("_rank_at", "_wanted")
+        state = stage(_hits(parts, F.array("_wanted")).select(*state_columns))
+
     picks = []
     for i, p in enumerate(probabilities):
-        place = (total - 1) * F.lit(float(p))
-        picks.append(F.min(F.when(F.col("_upto") > F.floor(place), F.col("_value"))).alias(f"_l{i}"))
-        picks.append(F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_value"))).alias(f"_h{i}"))
+        place = (F.col("_total") - 1) * F.lit(float(p))
+        for name, at in (("l", F.floor(place)), ("h", F.ceil(place))):
+            picks.append(F.max(F.when(F.col("_rank_at") == at, F.col("_low"))).alias(f"_{name}{i}"))
         picks.append(F.max(place - F.floor(place)).alias(f"_f{i}"))
-    found = ranked.groupBy(*by).agg(*picks) if by else ranked.agg(*picks)
-    return found.select(*by, *[
+    found = solved.groupBy(*keys).agg(*picks)
+    return found.select(*[F.col("_group").getField(c).alias(c) for c in by], "column_name", *[
         (F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(f"p{i}")
         for i in range(len(probabilities))
     ])
 
 
+def exact_percentiles(
+    df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Exact percentiles ``p0, p1, ...`` of one column per group."""
+    return percentiles(df, [column], probabilities, by).drop("column_name")
+
+
 def series_summary(df: DataFrame, date: str, value: str) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -101,18 +155,12 @@ def box_stats(df: DataFrame, column: str, by: str, reach: float = 1.5) -> DataFr
         (F.col("p0") - (F.col("p2") - F.col("p0")) * reach).alias("low_fence"),
         (F.col("p2") + (F.col("p2") - F.col("p0")) * reach).alias("high_fence"),
     )
-    counted = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
     inside = F.col(column).between(F.col("low_fence"), F.col("high_fence"))
-    return (
-        attach(counted, fences, by, "inner")
-        .groupBy(by, "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside, F.col(column))).alias("low_whisker"),
-            F.max(F.when(inside, F.col(column))).alias("high_whisker"),
-            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),
-        )
+    held = attach(df.select(by, column).filter(F.col(column).isNotNull()), fences, by, "inner")
+    return held.groupBy(by, "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col(column))).alias("low_whisker"),
+        F.max(F.when(inside, F.col(column))).alias("high_whisker"),
+        F.count_if(~inside).alias("outliers"),
     )
 
 
