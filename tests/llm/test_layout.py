@@ -144,7 +144,8 @@ def test_one_url_with_most_captures(spark):
     assert all(x["payload"] == f"body{x['refers_to']}" for x in found if x["outcome"] == "resolved")
 
 
-@pytest.mark.parametrize("key", ["op6_exact_top_k", "op10_revisit_resolution"])
+@pytest.mark.parametrize("key", ["op6_exact_top_k", "op10_revisit_resolution", "op11_spelling_variants", "op12_merkle_manifest",
+                                 "op13_chat_format"])
 def test_queries_match_their_sql(spark, key):
     from check_oracle import compare, open_tables
 
