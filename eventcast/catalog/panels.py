@@ -11,6 +11,7 @@ from eventcast.catalog.registry import query
 from eventcast.operators import evaluate, panel, stats
 from eventcast.plans import features
 from eventcast.functions import calendar as C
+from eventcast.session import new_path
 from eventcast.sources import tables as T
 
 MEASURES = "attack_count long, total_casualties double, total_killed double, total_wounded double"
@@ -195,6 +196,22 @@ def d14(s, d):
     return stats.correlation_matrix(T.featured_incidents(s, d), CORRELATED)
 
 
+# Prices and parts of them by many divisors, with nulls in different rows of each.
+DIVISORS = [p for p in range(2, 200) if all(p % q for q in range(2, p))][:40]
+
+
+@query("d14_correlation_wide", "row_name string, column_name string, correlation r6",
+       "WITH wide AS (SELECT " + ", ".join(
+           f"CASE WHEN o_orderkey % {p} <> 1 THEN o_totalprice % {100 * p} END AS part{p}" for p in DIVISORS) + " FROM orders) "
+       + "SELECT unnest([" + ", ".join(f"'part{a}'" for a in DIVISORS for _ in DIVISORS) + "]) AS row_name, unnest(["
+       + ", ".join(f"'part{b}'" for _ in DIVISORS for b in DIVISORS) + "]) AS column_name, unnest(["
+       + ", ".join(f"corr(part{a}, part{b})" for a in DIVISORS for b in DIVISORS) + "]) AS correlation FROM wide")
+def d14_wide(s, d):
+    orders = T.table(s, d, "orders")
+    parts = orders.select(*[F.when(F.col("o_orderkey") % p != 1, F.col("o_totalprice") % (100 * p)).alias(f"part{p}") for p in DIVISORS])
+    return stats.correlation_matrix(parts, parts.columns)
+
+
 @query("d15_sum_by_country", "country_txt string, total double",
        f"WITH {Q.FEAT} SELECT country_txt, sum(casualties) AS total FROM feat GROUP BY 1")
 def d15(s, d):
@@ -225,6 +242,27 @@ def d17_approx(s, d):
     )
 
 
+SKETCHED = ["country_txt", "city", "date"]
+
+
+@query("d17_distinct_sketches", "year int, column_name string, n_distinct long, within boolean",
+       f"WITH {Q.INC} " + " UNION ALL ".join(
+           f"SELECT year(date) AS year, '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, true AS within FROM inc GROUP BY 1"
+           for c in SKETCHED))
+def d17_sketches(s, d):
+    """Daily sketches, stored and united by year, next to exact counts: ``within`` their error."""
+    events = T.incidents(s, d, casualties=False).select(*SKETCHED)
+    path = new_path(s, "sketches")
+    stats.distinct_sketches(events.withColumn("day", F.col("date")), "day", SKETCHED).write.parquet(path)
+    united = stats.distinct_united(s.read.parquet(path).withColumn("year", F.year("day")), ["year"])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in SKETCHED])
+    exact = events.select(F.year("date").alias("year"), F.inline(cells)).distinct().groupBy("year", "column_name").agg(
+        F.count("value").alias("exact"))
+    found = exact.join(united, ["year", "column_name"], "left")
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= F.ceil(F.col("exact") * stats.sketch_error())
+    return found.select("year", "column_name", F.col("exact").alias("n_distinct"), F.coalesce(close, F.lit(False)).alias("within"))
+
+
 @query("d18_predicted_geography", "predicted_label string, latitude_cell long, longitude_cell long, n long",
        f"""WITH {Q.INC}, p AS (SELECT *, {PREDICTED} AS predicted_label FROM inc)
        SELECT predicted_label, floor(latitude / 10) AS latitude_cell, floor(longitude / 10) AS longitude_cell,

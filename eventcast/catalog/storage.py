@@ -29,6 +29,17 @@ def a1(s, d):
     return files.read_raw_csv(s, path, multi_line=False)  # no field here spans lines
 
 
+@query("a1_csv_with_line_breaks", "eventid long, city string, summary string",
+       f"""WITH {Q.RAW} SELECT eventid, city, country_txt || chr(10) || '"' || coalesce(gname, '') || '"' || chr(10) || ', é' || iyear AS summary
+       FROM raw""")
+def a1_breaks(s, d):
+    path = new_path(s, "raw")
+    free = F.concat("country_txt", F.lit('\n"'), F.coalesce("gname", F.lit("")), F.lit('"\n, é'), "iyear")
+    raw = T.raw_incidents(s, d).withColumn("summary", free)
+    files.write_csv(raw.select(*S.RAW_INCIDENT_SCHEMA.fieldNames()), path, "ISO-8859-1")
+    return files.read_raw_csv(s, path)
+
+
 @query("a2_stage_write", "region_txt string, date date, eventid long, casualties double",
        f"WITH {Q.FEAT} SELECT region_txt, date, eventid, casualties FROM feat")
 def a2(s, d):

@@ -115,3 +115,33 @@ def attach_codes(
     pivoted = found.groupBy("_row").agg(*[
         F.max(F.when(F.col("column_name") == c, F.col(code))).alias(out) for c, out in columns.items()])
     return numbered.join(pivoted, "_row", "left").drop("_row")
+
+
+BITMAP_BITS = 32768  # bits of one bitmap of the aggregate
+BITS_PER_KEY = 16
+
+
+def _bit(value: Column, bitmaps: int) -> Column:
+    """Place of a key among all bits, from 1."""
+    return F.pmod(F.xxhash64(value), F.lit(bitmaps * BITMAP_BITS)) + 1
+
+
+def prefilter(facts: DataFrame, keys: DataFrame, on: str, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``facts`` without most rows whose ``on`` is not among ``keys``; every row whose key is there stays.
+
+    The keys become hashed bitmaps, built in parallel and broadcast: ``BITS_PER_KEY`` bits a key, where the keys themselves
+    would take dozens of bytes, so about one row in sixteen of the others remains for the exact join behind. ``size`` is
+    the number of keys; beyond ``limit`` bytes of bitmaps the rows are returned as they are.
+    """
+    bitmaps = max(1, -(-size * BITS_PER_KEY // BITMAP_BITS))
+    if bitmaps * (BITMAP_BITS // 8) > limit:
+        return facts
+    place = _bit(F.col(on), bitmaps)
+    built = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bitmap")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    marked = facts.withColumn("_place", place).withColumn("_bitmap", F.bitmap_bucket_number("_place"))
+    marked = marked.join(F.broadcast(built), "_bitmap")
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    return marked.filter(hit).select(*facts.columns)

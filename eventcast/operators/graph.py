@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventcast.functions.calendar import date_text
-from eventcast.operators.attach import attach
+from eventcast.operators.attach import BROADCAST_BYTES, attach, prefilter, table_bytes
 from eventcast.operators.rank import global_rank
-from eventcast.session import stage, stage_table
+from eventcast.session import new_path, stage, stage_table
 
 SEPARATOR = "|"
 
@@ -94,29 +94,41 @@ def most_central(nodes: DataFrame, edges: DataFrame, k: int = 11) -> DataFrame:
     return degree_centrality(nodes, edges).orderBy(F.desc("centrality"), "id").limit(k)
 
 
-def ego_nodes(edges: DataFrame, centre: str, radius: int = 1) -> DataFrame:
+def _members_only(edges: DataFrame, members: DataFrame, end: str, size: int, broadcast_bytes: int) -> DataFrame:
+    """Edges whose ``end`` is one of ``members`` (staged, column id).
+
+    Small sets are broadcast and no edge moves. Larger ones go ahead of the join as a hashed bitmap, so that
+    edges outside are dropped where they are read and only the others are shuffled.
+    """
+    named = members.select(F.col("id").alias(end))
+    near = edges if table_bytes(named) <= broadcast_bytes else prefilter(edges, named, end, size)
+    return attach(near, named, end, "left_semi", staged=True, broadcast_bytes=broadcast_bytes)
+
+
+def ego_nodes(edges: DataFrame, centre: str, radius: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Nodes within ``radius`` hops of ``centre``.
 
-    One join and one ``distinct`` per hop; hubs are split by ``attach``, and each hop's result is
-    staged so the plan does not grow with the radius.
+    Per hop, only edges that touch the frontier leave the place where they are read; hubs are split by ``attach``, and
+    each hop's result is staged so the plan does not grow with the radius.
     """
     links = stage_table(both_directions(edges))
     start = links.filter(F.col("src") == centre).select(F.col("src").alias("id")).distinct()
     reached = stage(start)
     frontier = reached
     for _ in range(radius):
-        step = attach(links, frontier.withColumnRenamed("id", "src"), "src", "left_semi", staged=True)
+        step = _members_only(links, frontier, "src", frontier.count(), broadcast_bytes)
         found = step.select(F.col("dst").alias("id")).distinct()
         frontier = stage(found.join(reached, "id", "left_anti"))
         reached = stage(reached.unionByName(frontier))
     return reached
 
 
-def induced_subgraph(edges: DataFrame, members: DataFrame) -> DataFrame:
+def induced_subgraph(edges: DataFrame, members: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Edges whose two ends are both members."""
     members = stage(members.select("id").distinct())
-    left = attach(edges, members.withColumnRenamed("id", "src"), "src", "left_semi", staged=True)
-    return attach(left, members.withColumnRenamed("id", "dst"), "dst", "left_semi", staged=True)
+    size = members.count()
+    left = _members_only(edges, members, "src", size, broadcast_bytes)
+    return _members_only(left, members, "dst", size, broadcast_bytes)
 
 
 def index_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,31 +142,72 @@ def index_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return indexed, pairs.select("src_index", "dst_index")
 
 
+HUB_SHARE = 1000
+BUCKET_EDGES = 2_000_000
+
+
+class _Links:
+    """Edges in both directions, laid out once for joins by their source.
+
+    Small node tables are broadcast to the edges as they lie. Otherwise the edges are written in buckets of their source,
+    sorted; sources with at least 1/``HUB_SHARE`` of all edges are dealt over several buckets by their other end, and
+    their node rows are repeated. Only node rows move from hop to hop.
+    """
+
+    def __init__(self, links: DataFrame, degrees: DataFrame, small: bool):
+        self.small, self.table = small, links
+        if small:
+            return
+        spark = links.sparkSession
+        total = degrees.agg(F.coalesce(F.sum("_d"), F.lit(0))).first()[0]
+        share = F.ceil(F.col("_d") * HUB_SHARE / max(1, total)).cast("int")
+        self.hubs = stage(degrees.filter(F.col("_d") * HUB_SHARE >= total).select("id", share.alias("_parts")))
+        buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_EDGES))
+        dealt = links.join(F.broadcast(self.hubs.withColumnRenamed("id", "src")), "src", "left").select(
+            "src", F.pmod(F.xxhash64("dst"), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part"), "dst")
+        path = new_path(spark, "links")
+        name = "eventcast_" + path.rsplit("-", 1)[1]
+        writer = dealt.repartition(buckets, "src", "_part").write.format("parquet").option("path", path)
+        writer.bucketBy(buckets, "src", "_part").sortBy("src", "_part").saveAsTable(name)
+        self.table = spark.table(name)
+
+    def messages(self, sent: DataFrame) -> DataFrame:
+        """One row per edge: its target as ``id`` and the values of its source."""
+        sent = sent.withColumnRenamed("id", "src")
+        if self.small:
+            return self.table.join(F.broadcast(sent), "src").drop("src").withColumnRenamed("dst", "id")
+        copied = sent.join(F.broadcast(self.hubs.withColumnRenamed("id", "src")), "src", "left").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        return self.table.join(copied.hint("merge"), ["src", "_part"]).drop("src", "_part").withColumnRenamed("dst", "id")
+
+
 def propagate(
-    nodes: DataFrame, edges: DataFrame, features: Sequence[str], hops: int = 3
+    nodes: DataFrame, edges: DataFrame, features: Sequence[str], hops: int = 3, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``hops`` rounds of symmetric-normalised neighbour sums with self loops.
 
     With d = degree + 1, a round computes sum over v and its neighbours u of h(u)/sqrt(d(u)),
-    divided by sqrt(d(v)): node rows are scaled before and after, so the edges carry no weights
-    and need one lookup per round. The sums combine before their shuffle, so hubs stay cheap on
-    the receiving side; on the sending side ``attach`` splits them.
+    divided by sqrt(d(v)): node rows are scaled before and after, so the edges carry no weights. The edges
+    are laid out once; a round moves node rows and sums that were combined where the edges lie.
     """
     links = stage_table(both_directions(edges))
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_d"))
     current = stage(
-        nodes.select("id", *features)
-        .join(links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_d")), "id", "left")
+        nodes.select("id", *features).join(degree, "id", "left")
         .withColumn("_root", F.sqrt(F.coalesce(F.col("_d"), F.lit(0)) + 1.0))
-        .select("id", "_root", *[F.col(c).cast("double").alias(c) for c in features])
+        .select("id", "_d", "_root", *[(F.col(c).cast("double") / F.col("_root")).alias(c) for c in features])
     )
-    for _ in range(hops):
-        sent = stage(current.select("id", "_root", *[(F.col(c) / F.col("_root")).alias(c) for c in features]))
-        messages = attach(
-            links, sent.select(F.col("id").alias("src"), *features), "src", "inner", staged=True
-        ).select(F.col("dst").alias("id"), *features)
-        received = messages.groupBy("id").agg(*[F.sum(c).alias(f"_in_{c}") for c in features])
-        current = sent.join(received, "id", "left").select("id", "_root", *[
-            ((F.col(c) + F.coalesce(F.col(f"_in_{c}"), F.lit(0.0))) / F.col("_root")).alias(c)
-            for c in features
-        ])
-    return current.drop("_root")
+    # The node table keeps its size from hop to hop, so it is measured once.
+    laid = _Links(links, current.select("id", "_d"), table_bytes(current) <= broadcast_bytes)
+    for hop in range(hops):
+        received = laid.messages(current.select("id", *features)).groupBy("id").agg(
+            *[F.sum(c).alias(f"_in_{c}") for c in features])
+        # ``current`` holds h / sqrt(d): the last hop divides once, the others once more for the next.
+        root = F.col("_root") if hop == hops - 1 else F.col("_root") * F.col("_root")
+        current = current.join(received, "id", "left").select("id", "_d", "_root", *[
+            ((F.col(c) + F.coalesce(F.col(f"_in_{c}"), F.lit(0.0))) / root).alias(c) for c in features])
+        if hop < hops - 1:
+            current = stage(current)
+    if not hops:
+        current = current.select("id", "_d", "_root", *[(F.col(c) * F.col("_root")).alias(c) for c in features])
+    return current.drop("_d", "_root")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -164,8 +167,19 @@ def box_stats(df: DataFrame, column: str, by: str, reach: float = 1.5) -> DataFr
     )
 
 
+WIDE = 32  # columns beyond which pairs are computed in blocks
+GRAM_BLOCK = 64
+MERGED_PARTITIONS = 128
+_PARTS = 6  # per pair of columns: rows with both, sums, sums of squares of either, sum of products
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long-form Pearson matrix; both triangles come from one aggregation of the upper one."""
+    """Long-form Pearson matrix over the rows where both columns have a value; both triangles from the upper one.
+
+    Up to ``WIDE`` columns every pair is one aggregate; more go through ``correlation_blocks``.
+    """
+    if len(columns) > WIDE:
+        return correlation_blocks(df, columns)
     pairs = list(combinations_with_replacement(columns, 2))
     row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = F.array(*[
@@ -177,6 +191,85 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(cells))
 
 
+def _moved(block: np.ndarray, by_row: np.ndarray, by_column: np.ndarray) -> np.ndarray:
+    """Sums of a block as if its values had been lower by ``by_row`` (its rows) and ``by_column``."""
+    n, x, y, xx, yy, xy = block
+    r, c = by_row[:, None], by_column[None, :]
+    return np.stack([n, x - n * r, y - n * c, xx - 2 * r * x + n * r * r, yy - 2 * c * y + n * c * c, xy - c * x - r * y + n * r * c])
+
+
+def correlation_blocks(df: DataFrame, columns: Sequence[str], block: int = GRAM_BLOCK) -> DataFrame:
+    """Long-form Pearson matrix of many columns from one scan, null when a pair has no spread.
+
+    Every partition adds up, for blocks of columns, the products of its values less the partition's own means, with
+    counts and sums over the rows that have both. Blocks meet in two shuffles, are moved to common centres and added,
+    so no sum loses digits to a large mean and no task holds more than some blocks.
+    """
+    columns = list(columns)
+    cuts = list(range(0, len(columns), block))
+    pairs = [(i, j) for i in range(len(cuts)) for j in range(i, len(cuts))]
+    schema = "i int, j int, part int, centres binary, sums binary"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, total, part = None, {}, TaskContext.get().partitionId() // MERGED_PARTITIONS
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64)
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64)
+            values[there == 0] = 0
+            if centre is None:
+                centre = values.sum(0) / np.maximum(there.sum(0), 1)
+            values = (values - centre) * there
+            squares = values * values
+            for i, j in pairs:
+                a, b = (slice(cuts[k], cuts[k] + block) for k in (i, j))
+                m, k = there[:, a].T, there[:, b]
+                sums = np.stack([m @ k, values[:, a].T @ k, m @ values[:, b], squares[:, a].T @ k, m @ squares[:, b],
+                                 values[:, a].T @ values[:, b]])
+                total[i, j] = total[i, j] + sums if (i, j) in total else sums
+        if centre is not None:
+            found = [(i, j, part, np.concatenate([centre[cuts[i]:cuts[i] + block], centre[cuts[j]:cuts[j] + block]]).tobytes(),
+                      total[i, j].tobytes()) for i, j in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                names=["i", "j", "part", "centres", "sums"])
+
+    def added(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        rows, width = min(block, len(columns) - cuts[i]), min(block, len(columns) - cuts[j])
+        centre, total = None, 0
+        order = np.argsort([c.as_py() for c in group["centres"]], kind="stable")  # sums in an order of their own
+        for at in order.tolist():
+            mine = np.frombuffer(group["centres"][at].as_py())
+            sums = np.frombuffer(group["sums"][at].as_py()).reshape(_PARTS, rows, width)
+            centre = mine if centre is None else centre
+            total = total + _moved(sums, centre[:rows] - mine[:rows], centre[rows:] - mine[rows:])
+        return pa.table({"i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "part": pa.array([0], pa.int32()),
+                         "centres": pa.array([centre.tobytes()], pa.binary()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, sums in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "sums"))):
+                names = columns[cuts[i]:cuts[i] + block], columns[cuts[j]:cuts[j] + block]
+                n, x, y, xx, yy, xy = np.frombuffer(sums).reshape(_PARTS, len(names[0]), len(names[1]))
+                with np.errstate(all="ignore"):
+                    spread_x, spread_y = xx - x * x / n, yy - y * y / n
+                    flat = (spread_x <= 1e-14 * xx) | (spread_y <= 1e-14 * yy) | (n < 2)
+                    r = np.clip((xy - x * y / n) / np.sqrt(spread_x * spread_y), -1, 1)
+                missing = flat | ~np.isfinite(r)
+                left, right = (np.array(v) for v in names)
+                for a, b, value, none in ((left, right, r, missing), (right, left, r.T, missing.T))[: 1 if i == j else 2]:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(a, len(b))), pa.array(np.tile(b, len(a))), pa.array(value.ravel(), mask=none.ravel())],
+                        names=["row_name", "column_name", "correlation"])
+
+    sums = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(gather, schema)
+    sums = sums.groupBy("i", "j", "part").applyInArrow(added, schema)
+    sums = sums.groupBy("i", "j").applyInArrow(added, schema)
+    return sums.mapInArrow(finished, "row_name string, column_name string, correlation double")
+
+
 def sum_by(df: DataFrame, key: str, column: str, out: str = "total") -> DataFrame:
     return df.groupBy(key).agg(F.sum(column).alias(out))
 
@@ -209,3 +302,34 @@ def distinct_count(df: DataFrame, columns: Sequence[str], approximate: bool = Fa
         ])))
         .distinct().groupBy("column_name").agg(F.count("value").alias("n_distinct"))
     )
+
+
+# --- distinct counts over any span ----------------------------------------------------------
+
+SKETCH_BITS = 12
+
+
+def distinct_sketches(
+    df: DataFrame, period: str, columns: Sequence[str], bits: int = SKETCH_BITS
+) -> DataFrame:
+    """(period, column_name, sketch): mergeable sketches, one per period and column.
+
+    Stored once, they answer for any set of periods without reading the events again.
+    """
+    row = df.groupBy(period).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(bits)).alias(c) for c in columns])
+    return row.unpivot([period], list(columns), "column_name", "sketch")
+
+
+def distinct_between(sketches: DataFrame, period: str, first: Column, last: Column) -> DataFrame:
+    """(column_name, n_distinct): estimated distinct values over the periods from ``first`` to ``last``."""
+    return sketches.filter(F.col(period).between(first, last)).transform(distinct_united, [])
+
+
+def distinct_united(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, column_name, n_distinct): sketches united per group, of one or several periods."""
+    return sketches.groupBy(*by, "column_name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """Three standard errors of an estimate, as a share of the true count."""
+    return 3 * 1.04 / 2 ** (bits / 2)

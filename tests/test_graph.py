@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventcast.operators import graph
+from eventcast.operators.attach import prefilter
 
 EDGES = [("a", "b"), ("b", "c"), ("c", "d"), ("b", "e")]
 NODES = ["a", "b", "c", "d", "e", "lonely"]
@@ -69,3 +70,43 @@ def test_propagation_equals_matrix_power(spark, hops):
     expected = np.linalg.matrix_power(root @ a @ root, hops) @ np.arange(6.0)
     found = {r["id"]: r["h"] for r in graph.propagate(nodes(spark), edges(spark), ["h"], hops).collect()}
     assert [found[n] for n in NODES] == pytest.approx(list(expected))
+
+
+def random_graph(spark, n=400, m=3000):
+    rng = np.random.default_rng(8)
+    pairs = {(f"n{a}", f"n{b}") for a, b in rng.integers(0, n, (m, 2)) if a < b} | {("n0", f"n{b}") for b in range(1, n)}  # one hub
+    nodes = spark.createDataFrame([(f"n{i}", float(i % 17)) for i in range(n + 3)], "id string, h double")
+    return nodes, spark.createDataFrame(sorted(pairs), "src string, dst string").repartition(4)
+
+
+def test_bucketed_edges_give_the_same_and_do_not_move(spark):
+    nodes, edges = random_graph(spark)
+    plain = {r["id"]: r["h"] for r in graph.propagate(nodes, edges, ["h"], 3).collect()}
+    bucketed = graph.propagate(nodes, edges, ["h"], 3, broadcast_bytes=0)
+    assert {r["id"]: pytest.approx(r["h"], abs=1e-9) for r in bucketed.collect()} == plain
+    plan = graph.propagate(nodes, edges, ["h"], 3, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [src" in plan and "Bucketed: true" in plan
+    # Node rows and partial sums are exchanged, edges (src, _part, dst) are not.
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(src" in line]
+    assert len(moved) == 1 and plan.count("Exchange hashpartitioning(id") <= 3
+
+
+def test_frontiers_too_large_to_broadcast(spark):
+    nodes, edges = random_graph(spark)
+    for centre in ("n0", "n7"):
+        assert ids(graph.ego_nodes(edges, centre, 2, broadcast_bytes=0)) == ids(graph.ego_nodes(edges, centre, 2))
+    members = nodes.filter("h < 5").select("id")
+    rows = lambda df: {(r["src"], r["dst"]) for r in df.collect()}
+    assert rows(graph.induced_subgraph(edges, members, broadcast_bytes=0)) == rows(graph.induced_subgraph(edges, members))
+
+
+def test_prefilter_keeps_all_and_drops_most(spark):
+    rows = spark.range(200_000).select(F.concat(F.lit("k"), F.col("id")).alias("k"), "id").unionByName(
+        spark.createDataFrame([(None, 1)], "k string, id long"))
+    keys = rows.filter("id % 50 = 0").select("k")
+    left = prefilter(rows, keys, "k", 4000)
+    assert left.columns == rows.columns
+    assert left.join(keys, "k", "left_semi").count() == 4000 and left.count() < 30_000
+    assert prefilter(rows, keys, "k", 4000, limit=100).count() == 200_001
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan

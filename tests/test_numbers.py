@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventcast.functions import text as X
-from eventcast.operators import clean, forecast, sequences, split
+from eventcast.operators import clean, forecast, sequences, split, stats
 from eventcast.operators import windows as W
 
 START = datetime.date(2001, 1, 1)
@@ -74,3 +74,59 @@ def test_whole_numbers_in_exponent_form(spark):
     texts = ["1e3", "3.0", "3.5", "2.5e1", "x", None, " 7 "]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(clean.parse_whole(F.col("t")).alias("n")).collect()
     assert [r["n"] for r in rows] == [1000, 3, None, 25, None, None, 7]
+
+
+def test_correlation_of_many_columns_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    k, n = 150, 3000
+    values = rng.normal(size=(n, 8)) @ rng.normal(size=(8, k)) + rng.normal(size=(n, k)) + 1e6
+    values[:, 7] = 5.0  # no spread
+    missing = rng.random((n, k)) < 0.1
+    rows = [[None if m else float(v) for v, m in zip(r, g)] for r, g in zip(values, missing)]
+    names = [f"x{i}" for i in range(k)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(9)
+    cells = {(r["row_name"], r["column_name"]): r["correlation"] for r in stats.correlation_matrix(df, names).collect()}
+    assert len(cells) == k * k
+    for i in range(0, k, 3):
+        for j in range(0, k, 7):
+            both = ~missing[:, i] & ~missing[:, j]
+            want = None if 7 in (i, j) else np.corrcoef(values[both, i], values[both, j])[0, 1]
+            found = cells[names[i], names[j]]
+            assert found is None if want is None else abs(found - want) < 1e-7
+
+
+def test_percentiles_of_many_columns_and_groups_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(stats, "LAST_CELL_ROWS", 50)
+    rng = np.random.default_rng(5)
+    columns = {
+        "wide": rng.normal(size=2000) * 10.0 ** rng.integers(-300, 300, 2000), "ties": rng.integers(0, 3, 2000) * 1.5,
+        "close": 1e9 + rng.random(2000) * 1e-6, "signed": rng.normal(size=2000), "same": np.full(2000, -2.5),
+        "infinite": np.where(rng.random(2000) < 0.5, np.inf, rng.normal(size=2000)),
+    }
+    groups = [None, "a", "b"]
+    of = rng.integers(0, 3, 2000)
+    gone = {c: rng.random(2000) < 0.05 for c in columns}
+    rows = [(groups[of[i]], *[None if gone[c][i] else float(columns[c][i]) for c in columns], None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{c} double" for c in [*columns, "nothing"])).repartition(7)
+    p = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = {(r["g"], r["column_name"]): [r[f"p{i}"] for i in range(6)]
+             for r in stats.percentiles(df, [*columns, "nothing"], p, ["g"]).collect()}
+    assert set(found) == {(g, c) for g in groups for c in columns}
+    for (g, c), values in found.items():
+        mine = columns[c][(of == groups.index(g)) & ~gone[c]]
+        with np.errstate(invalid="ignore"):
+            want = np.sort(mine)
+            low, high = [want[int(f((len(want) - 1) * q))] for q in p for f in [np.floor]], [want[int(f((len(want) - 1) * q))] for q in p for f in [np.ceil]]
+            part = [(len(want) - 1) * q - np.floor((len(want) - 1) * q) for q in p]
+            want = [a + (b - a) * f for a, b, f in zip(low, high, part)]
+        assert all(x == pytest.approx(y, rel=1e-12, nan_ok=True) for x, y in zip(values, want)), (g, c)
+    whole = stats.percentiles(df, ["signed"], [0.5]).collect()
+    assert whole[0]["p0"] == pytest.approx(np.median(columns["signed"][~gone["signed"]]), rel=1e-12)
+
+
+def test_sketches_unite_over_days(spark):
+    rows = spark.range(30_000).selectExpr("id % 30 AS day", "id % 7000 AS a", "'x' AS b", "IF(id % 2 = 0, NULL, id) AS c")
+    sketches = stats.distinct_sketches(rows, "day", ["a", "b", "c"])
+    found = {r["column_name"]: r["n_distinct"] for r in stats.distinct_between(sketches, "day", F.lit(0), F.lit(29)).collect()}
+    assert found["b"] == 1
+    assert abs(found["a"] - 7000) <= 7000 * stats.sketch_error() and abs(found["c"] - 15000) <= 15000 * stats.sketch_error()
