@@ -45,6 +45,16 @@ def test_cut_texts_have_the_ids_of_whole_texts():
         assert found == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_plain_texts_are_cut_at_words(monkeypatch):
+    monkeypatch.setattr(packing, "LONG_TEXT", 50)
+    rng = random.Random(4)
+    texts = [prose(rng, 200, "de") + "\n \n  x" + prose(rng, 50) + "y" * 300, "z" * 400, "  a" * 100, "\n" * 200 + " b"]
+    path = public_tokenizers.path(packing.VOCABULARY)
+    whole = Tokenizer.from_file(path)
+    found = packing.Encoder(path, public_tokenizers.path(packing.RANKS)).encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packed_documents(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randrange(0, 300)) for _ in range(80)] + [prose(rng, 3000), None]
