@@ -87,25 +87,60 @@ def text_flags(s, d):
     return flag_summary(features.text_statistics(_docs(s, d), "text"), ["has_text", "text_word_count"])
 
 
-@query("t7_word_vectors", "word string, size int",
-       f"""WITH {CLEAN} SELECT DISTINCT w AS word, 100 AS size FROM (SELECT unnest(string_split(t, ' ')) AS w FROM cleaned)
-       WHERE w <> ''""")
+VECTOR_SIZE = 100
+
+
+def _start(word: str, k: int) -> str:
+    return f"CAST('0x' || substr(md5({word} || ':{k}'), 1, 8) AS BIGINT) / 2147483648.0 - 1.0"
+
+
+def _vectors(tokens: str, components: list[int], rounds: int = 2, window: int = 5) -> str:
+    """CTEs that end in ``vectors`` (word, v<k> ...) from ``tokens`` (text, i, w)."""
+    first = ", ".join(f"{_start('word', k)} AS v{k}" for k in components)
+    steps = [f"round0 AS (SELECT word, {first} FROM (SELECT DISTINCT word FROM shares))"]
+    for r in range(1, rounds + 1):
+        sums = ", ".join(f"sum(weight * v{k}) AS v{k}" for k in components)
+        steps.append(f"round{r} AS (SELECT s.word, {sums} FROM shares s JOIN round{r - 1} v ON v.word = s.other GROUP BY 1)")
+    means = ", ".join("(" + " + ".join(f"round{r}.v{k}" for r in range(1, rounds + 1)) + f") / {rounds} AS v{k}" for k in components)
+    joins = " ".join(f"JOIN round{r} USING (word)" for r in range(2, rounds + 1))
+    return f"""{tokens},
+pairs AS (SELECT a.w AS word, b.w AS other, count(*) AS n FROM tokens a JOIN tokens b ON a.text = b.text AND b.i BETWEEN a.i AND a.i + {window}
+  GROUP BY 1, 2),
+counts AS (SELECT word, other, sum(n) AS n FROM (SELECT * FROM pairs UNION ALL SELECT other, word, n FROM pairs WHERE word <> other) GROUP BY 1, 2),
+sums AS (SELECT word, sum(n) AS total FROM counts GROUP BY 1),
+weighed AS (SELECT c.word, c.other, greatest(0.0, ln(CAST(n AS DOUBLE) * (SELECT sum(n) FROM counts) / (CAST(a.total AS DOUBLE) * b.total))) AS weight
+  FROM counts c JOIN sums a ON a.word = c.word JOIN sums b ON b.word = c.other),
+shares AS (SELECT * FROM (SELECT word, other, CASE WHEN sum(weight) OVER (PARTITION BY word) > 0 THEN weight / sum(weight) OVER (PARTITION BY word)
+  WHEN word = other THEN 1.0 ELSE 0.0 END AS weight FROM weighed) WHERE weight > 0),
+{", ".join(steps)},
+vectors AS (SELECT word, {means} FROM round1 {joins})"""
+
+
+TOKENS = CLEAN + """, tokens AS (SELECT doc_id AS text, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM (
+  SELECT doc_id, list_filter(string_split(t, ' '), lambda w: w <> '') AS l FROM cleaned))"""
+SHOWN = [0, 1, VECTOR_SIZE - 1]
+
+
+@query("t7_word_vectors", "word string, size int, " + ", ".join(f"v{k} r6" for k in SHOWN),
+       f"WITH {_vectors(TOKENS, SHOWN)} SELECT word, {VECTOR_SIZE} AS size, {', '.join(f'v{k}' for k in SHOWN)} FROM vectors")
 def t7(s, d):
     tokens = _docs(s, d).select(X.words(X.clean_text(F.col("text"))).alias("tokens"))
-    model = embed.fit_word_vectors(tokens, "tokens", size=100, window=5)
-    return embed.word_vectors(model).withColumn("size", F.size("vector"))
+    found = embed.fit_word_vectors(tokens, "tokens", size=VECTOR_SIZE, window=5)
+    return found.select("word", F.size("vector").alias("size"), *[F.col("vector")[k].alias(f"v{k}") for k in SHOWN])
 
 
-@query("j6_embedding_lookup", "eventid long, city string, size int, is_zero boolean",
-       f"""WITH {Q.INC} SELECT eventid, city, 100 AS size,
-       false AS is_zero FROM inc UNION ALL SELECT -eventid, 'no ' || city, 100, true FROM inc""")
+@query("j6_embedding_lookup", "eventid long, city string, size int, is_zero boolean, v0 r6, v99 r6",
+       f"""WITH {Q.INC}, tokens AS (SELECT eventid AS text, 1 AS i, city AS w FROM inc), {_vectors("one AS (SELECT 1)", [0, 99])}
+       SELECT eventid, city, {VECTOR_SIZE} AS size, false AS is_zero, v0, v99 FROM inc JOIN vectors ON word = city
+       UNION ALL SELECT -eventid, 'no ' || city, {VECTOR_SIZE}, true, 0, 0 FROM inc""")
 def j6(s, d):
     # One token per event, as a place name; every vector is looked up by the place, and so are
     # places that no event has.
     events = T.incidents(s, d, casualties=False).select("eventid", "city")
-    model = embed.fit_word_vectors(events.select(F.array("city").alias("tokens")), "tokens")
+    vectors = embed.fit_word_vectors(events.select(F.array("city").alias("tokens")), "tokens", size=VECTOR_SIZE)
     absent = events.select((-F.col("eventid")).alias("eventid"), F.concat(F.lit("no "), "city").alias("city"))
-    found = embed.attach_vectors(events.unionByName(absent), model, "city")
+    found = embed.attach_vectors(events.unionByName(absent), vectors, "city", VECTOR_SIZE)
     return found.withColumns({
         "size": F.size("vector"), "is_zero": F.forall("vector", lambda v: v == 0),
+        "v0": F.col("vector")[0], "v99": F.col("vector")[99],
     })

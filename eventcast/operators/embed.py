@@ -1,40 +1,98 @@
-"""Word vectors and their lookup."""
+"""Word vectors from co-occurrence counts, and their lookup."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventcast import schema as S
 from eventcast.operators.attach import attach
-from eventcast.session import stage
+from eventcast.session import stage_table
+
+ROUNDS = 2
+BLOCK = 25  # components summed by one aggregate
+
+
+def start_value(word: Column, component: Column) -> Column:
+    """Number in [-1, 1) fixed by a word and a component: the first 32 bits of the digest of ``word:component``."""
+    digest = F.md5(F.concat(word, F.lit(":"), component.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**31 - 1.0
+
+
+def cooccurrences(tokens: DataFrame, column: str, window: int = 5) -> DataFrame:
+    """(word, other, n): how often two words stand at most ``window`` places apart, both ways, and each word with itself.
+
+    Counts are combined where the texts are read, so frequent words cost no more than others.
+    """
+    here = F.col(column)
+    size = F.size(here)
+    apart = [F.transform(here, lambda w: F.struct(w.alias("word"), w.alias("other")))]
+    for k in range(1, window + 1):
+        ahead = F.greatest(size - k, F.lit(0))
+        both = F.arrays_zip(F.slice(here, F.lit(1), ahead).alias("word"), F.slice(here, F.lit(k + 1), ahead).alias("other"))
+        apart.append(F.transform(both, lambda p: F.struct(p["word"].alias("word"), p["other"].alias("other"))))
+    pairs = tokens.filter(size > 0).select(F.explode(F.concat(*apart)).alias("p"), F.lit(1).alias("one"))
+    counted = pairs.groupBy("p").agg(F.count("one").alias("n")).select("p.word", "p.other", "n")
+    # A pair is met in the order of the text; the other order is the same pair.
+    turned = counted.filter("word <> other").select(F.col("other").alias("word"), F.col("word").alias("other"), "n")
+    return counted.unionByName(turned).groupBy("word", "other").agg(F.sum("n").alias("n"))
+
+
+def word_weights(tokens: DataFrame, column: str, window: int = 5, min_count: int = 1) -> DataFrame:
+    """(word, other, weight): positive pointwise mutual information, in shares per word; words without any keep themselves."""
+    if min_count > 1:
+        words = tokens.select(F.explode(column).alias("w")).groupBy("w").count().filter(F.col("count") >= min_count)
+        numbered = tokens.select(F.monotonically_increasing_id().alias("_text"), column)
+        numbered = stage_table(numbered)
+        placed = attach(numbered.select("_text", F.posexplode(column).alias("at", "w")), words.select("w"), "w", "left_semi")
+        tokens = placed.groupBy("_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias(column))
+    counts = stage_table(cooccurrences(tokens, column, window))
+    sums = counts.groupBy("word").agg(F.sum("n").alias("total"))
+    total = counts.agg(F.sum("n")).scalar()
+    met = attach(counts, sums, "word")
+    met = attach(met, sums.select(F.col("word").alias("other"), F.col("total").alias("other_total")), "other")
+    part = F.greatest(F.lit(0.0), F.log(F.col("n").cast("double") * total / (F.col("total").cast("double") * F.col("other_total"))))
+    met = stage_table(met.select("word", "other", part.alias("weight")))
+    whole = met.groupBy("word").agg(F.sum("weight").alias("_whole"))
+    shared = attach(met, whole, "word")
+    share = F.when(F.col("_whole") > 0, F.col("weight") / F.col("_whole")).otherwise((F.col("word") == F.col("other")).cast("double"))
+    return stage_table(shared.select("word", "other", share.alias("weight")).filter("weight > 0"))
 
 
 def fit_word_vectors(
-    tokens: DataFrame, column: str, size: int = 100, window: int = 5, min_count: int = 1,
-    partitions: int = 4, iterations: int = 1, seed: int = S.SEED,
-) -> Word2VecModel:
-    """Skip-gram vectors; texts are trained on whole, however long.
+    tokens: DataFrame, column: str, size: int = 100, window: int = 5, min_count: int = 1, rounds: int = ROUNDS
+) -> DataFrame:
+    """(word, vector): ``rounds`` power iterations of the co-occurrence weights from hashed start vectors, averaged.
 
-    ``partitions`` copies of the vectors are trained and averaged, so it stays small. Only the
-    vocabulary and its vectors reach the driver; ``min_count`` bounds both on large corpora.
+    The weight matrix stays sparse and distributed, as do the words and their vectors: a round is one join of the
+    weights with the vectors and one weighted sum per word and block of components. Texts are read whole, however long. The result
+    depends on the texts alone, not on their order or partitions, but for rounding.
     """
-    longest = tokens.agg(F.coalesce(F.max(F.size(column)), F.lit(1))).first()[0]
-    return Word2Vec(
-        inputCol=column, outputCol=f"{column}_vector", vectorSize=size, windowSize=window,
-        minCount=min_count, numPartitions=partitions, maxIter=iterations, seed=seed,
-        maxSentenceLength=max(1, longest),
-    ).fit(tokens)
+    weights = word_weights(tokens, column, window, min_count)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((size - 1) // BLOCK))).alias("block")
+    components = [start_value(F.col("word"), F.col("block") * BLOCK + k) for k in range(min(size, BLOCK))]
+    current = stage_table(weights.select("word").distinct().select("word", blocks).select(
+        "word", "block", F.array(*components).alias("v")))
+    total = None
+    for _ in range(rounds):
+        sent = current.select(F.col("word").alias("other"), "block", "v")
+        sums = [F.sum(F.col("weight") * F.col("v")[k]) for k in range(min(size, BLOCK))]
+        met = _meet(weights, sent).groupBy("word", "block").agg(*[c.alias(f"_{k}") for k, c in enumerate(sums)])
+        current = stage_table(met.select("word", "block", F.array(*[f"_{k}" for k in range(len(sums))]).alias("v")))
+        total = current if total is None else total.join(current.withColumnRenamed("v", "_more"), ["word", "block"]).select(
+            "word", "block", F.zip_with("v", "_more", lambda a, b: a + b).alias("v"))
+    found = (current if total is None else total).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("block", "v"))).alias("_blocks"))
+    whole = F.slice(F.flatten(F.transform("_blocks", lambda x: x["v"])), 1, size)
+    return stage_table(found.select("word", F.transform(whole, lambda x: x / max(1, rounds)).alias("vector")))
 
 
-def word_vectors(model: Word2VecModel) -> DataFrame:
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+def _meet(weights: DataFrame, sent: DataFrame) -> DataFrame:
+    """Every weight with the blocks of its other word's vector; a word's blocks travel as one row."""
+    rows = sent.groupBy("other").agg(F.collect_list(F.struct("block", "v")).alias("_blocks"))
+    return attach(weights, rows, "other", "inner").select("word", "weight", F.inline("_blocks"))
 
 
-def attach_vectors(df: DataFrame, model: Word2VecModel, key: str, out: str = "vector") -> DataFrame:
+def attach_vectors(df: DataFrame, vectors: DataFrame, key: str, size: int, out: str = "vector") -> DataFrame:
     """Vector of the row's word; a missing one is the zero vector."""
-    lookup = stage(word_vectors(model).select(F.col("word").alias(key), F.col("vector").alias(out)))
-    zero = F.array_repeat(F.lit(0.0), model.getVectorSize())
+    lookup = vectors.select(F.col("word").alias(key), F.col("vector").alias(out))
+    zero = F.array_repeat(F.lit(0.0), size)
     return attach(df, lookup, key, staged=True).withColumn(out, F.coalesce(F.col(out), zero))

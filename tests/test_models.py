@@ -69,12 +69,50 @@ def test_setting_sweep_is_ranked(panel):
 
 
 def test_missing_word_gets_the_zero_vector(spark):
-    model = embed.fit_word_vectors(spark.createDataFrame([(["x"],), (["y"],)], "tokens array<string>"), "tokens", size=8)
+    vectors = embed.fit_word_vectors(spark.createDataFrame([(["x"],), (["y"],)], "tokens array<string>"), "tokens", size=8)
     rows = spark.createDataFrame([("x",), ("q",)], "city string")
-    found = {r["city"]: r["vector"] for r in embed.attach_vectors(rows, model, "city").collect()}
+    found = {r["city"]: r["vector"] for r in embed.attach_vectors(rows, vectors, "city", 8).collect()}
     assert found["q"] == [0.0] * 8 and any(found["x"]) and len(found["x"]) == 8
 
 
+def plain_vectors(texts, size, window, least, rounds):
+    import hashlib
+    from collections import Counter
+
+    seen = Counter(w for t in texts for w in t)
+    texts = [[w for w in t if seen[w] >= least] for t in texts]
+    words = sorted({w for t in texts for w in t})
+    at = {w: i for i, w in enumerate(words)}
+    n = np.zeros((len(words), len(words)))
+    for t in texts:
+        for i, a in enumerate(t):
+            for b in t[i:i + window + 1]:
+                n[at[a], at[b]] += 1
+    n = n + n.T - np.diag(np.diag(n))
+    sums = n.sum(1)
+    with np.errstate(divide="ignore"):
+        weights = np.where(n > 0, np.maximum(0, np.log(n * n.sum() / np.outer(sums, sums))), 0)
+    whole = weights.sum(1)
+    shares = np.where(whole[:, None] > 0, weights / np.where(whole > 0, whole, 1)[:, None], np.eye(len(words)))
+    v = np.array([[int(hashlib.md5(f"{w}:{k}".encode()).hexdigest()[:8], 16) / 2**31 - 1 for k in range(size)] for w in words])
+    total = 0
+    for _ in range(rounds):
+        v = shares @ v
+        total = total + v
+    return {w: total[i] / rounds for w, i in at.items()}
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_word_vectors_equal_numpy(spark, least):
+    rng = np.random.default_rng(6)
+    texts = [[f"w{min(int(x), 40)}" for x in rng.pareto(0.6, rng.integers(0, 30))] for _ in range(80)] + [[], ["only"], ["w0"] * 50]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "tokens array<string>").repartition(5)
+    found = {r["word"]: r["vector"] for r in embed.fit_word_vectors(rows, "tokens", size=6, window=3, min_count=least).collect()}
+    want = plain_vectors(texts, 6, 3, least, embed.ROUNDS)
+    assert set(found) == set(want)
+    assert all(np.allclose(found[w], want[w], atol=1e-9) for w in want)
+
+
 def test_classifier_learns_a_separable_label(spark):
     from eventcast.operators.encode import assemble
 
