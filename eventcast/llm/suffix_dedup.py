@@ -349,7 +349,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True, doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the ``kept`` bytes) of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining bytes, ``kept``) of every row, and its new ``text``.
+
+    ``text`` reads the remaining bytes as UTF-8; characters that a removal has cut in two are left out of it.
 
     Removed are the bytes of all ``length``-byte strings that also start elsewhere, in any row or the same; strings
     are judged on the input. Null texts are empty; repeated rows are copies of each other; texts shorter
@@ -359,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     marks = repeated_windows(rows, length).groupBy(F.col("row").alias("_row")).agg(
         F.collect_list(F.struct("start", "n")).alias("marks"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     schema += ", kept binary" if keep_bytes else ""
 
     def make():
@@ -380,10 +382,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
                     done = end
                 pieces.append(raw[done:])
                 kept = b"".join(pieces)
-                out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), kept))
             columns = list(zip(*out))
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 if keep_bytes else 4]
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))]
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "kept"][: 6 if keep_bytes else 5]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays[: len(names)]], names=["doc_id", *names])
 
         return work
