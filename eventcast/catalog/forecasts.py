@@ -45,34 +45,42 @@ moving AS (
   FROM ma m JOIN test t ON t.series = m.series AND t.step = m.step)"""
 
 
-def _regression(n: int) -> str:
-    """Least squares on n lags by successive orthogonalisation, then the recursive forecast."""
-    lags = [f"x{k}" for k in range(1, n + 1)]
-    lagged = ", ".join(
-        f"lag(y, {k}) OVER (PARTITION BY series ORDER BY week_start) AS x{k}" for k in range(1, n + 1)
-    )
-    parts = [f"m0_{n} AS (SELECT * FROM (SELECT series, week_start, y, {lagged} FROM train) WHERE x{n} IS NOT NULL)"]
-    centred = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY series) AS {c}c" for c in ["y", *lags])
-    parts.append(f"m1_{n} AS (SELECT *, {centred}, x1 - avg(x1) OVER (PARTITION BY series) AS z1 FROM m0_{n})")
+def _fit(tag: str, source: str, xs: list[str]) -> str:
+    """CTEs ending in ``fit_<tag>`` (series, b0, b): least squares of y on ``xs`` by successive orthogonalisation."""
+    n = len(xs)
+    centred = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY series) AS {o}" for c, o in [("y", "yc"), *((x, f"x{i}c") for i, x in enumerate(xs, 1))])
+    first = f"{xs[0]} - avg({xs[0]}) OVER (PARTITION BY series) AS z1"
+    parts = [f"m1_{tag} AS (SELECT series, y, {', '.join(xs)}, {centred}, {first} FROM {source})"]
     for i in range(2, n + 1):
         coefs = ", ".join(
             f"sum(x{i}c * z{j}) OVER (PARTITION BY series) / sum(z{j} * z{j}) OVER (PARTITION BY series) AS r{i}_{j}"
             for j in range(1, i))
         minus = " - ".join([f"x{i}c"] + [f"r{i}_{j} * z{j}" for j in range(1, i)])
-        parts.append(f"m{i}_{n} AS (SELECT *, {minus} AS z{i} FROM (SELECT *, {coefs} FROM m{i - 1}_{n}))")
+        parts.append(f"m{i}_{tag} AS (SELECT *, {minus} AS z{i} FROM (SELECT *, {coefs} FROM m{i - 1}_{tag}))")
     kept = ", ".join(
         [f"sum(yc * z{i}) / sum(z{i} * z{i}) AS c{i}" for i in range(1, n + 1)]
         + [f"any_value(r{i}_{j}) AS r{i}_{j}" for i in range(2, n + 1) for j in range(1, i)]
-        + ["avg(y) AS my"] + [f"avg({c}) AS m{c}" for c in lags])
-    parts.append(f"g_{n} AS (SELECT series, {kept} FROM m{n}_{n} GROUP BY 1)")
-    source = f"g_{n}"
+        + ["avg(y) AS my", "count(*) AS n"] + [f"avg({x}) AS mx{i}" for i, x in enumerate(xs, 1)])
+    parts.append(f"g_{tag} AS (SELECT series, {kept} FROM m{n}_{tag} GROUP BY 1)")
+    source = f"g_{tag}"
     for i in range(n, 0, -1):
         minus = " - ".join([f"c{i}"] + [f"r{j}_{i} * b{j}" for j in range(i + 1, n + 1)])
-        parts.append(f"b{i}_{n} AS (SELECT *, {minus} AS b{i} FROM {source})")
-        source = f"b{i}_{n}"
+        parts.append(f"b{i}_{tag} AS (SELECT *, {minus} AS b{i} FROM {source})")
+        source = f"b{i}_{tag}"
     slopes = ", ".join(f"b{i}" for i in range(1, n + 1))
-    parts.append(f"fit_{n} AS (SELECT series, my - " + " - ".join(f"b{i} * mx{i}" for i in range(1, n + 1))
+    parts.append(f"fit_{tag} AS (SELECT series, n, my - " + " - ".join(f"b{i} * mx{i}" for i in range(1, n + 1))
                  + f" AS b0, [{slopes}] AS b FROM {source})")
+    return ", ".join(parts)
+
+
+def _regression(n: int) -> str:
+    """Least squares on n lags, then the recursive forecast."""
+    lags = [f"x{k}" for k in range(1, n + 1)]
+    lagged = ", ".join(
+        f"lag(y, {k}) OVER (PARTITION BY series ORDER BY week_start) AS x{k}" for k in range(1, n + 1)
+    )
+    parts = [f"m0_{n} AS (SELECT * FROM (SELECT series, week_start, y, {lagged} FROM train) WHERE x{n} IS NOT NULL)",
+             _fit(str(n), f"m0_{n}", lags)]
     parts.append(f"""hist_{n} AS (SELECT series, list_slice(list(y ORDER BY week_start DESC), 1, {n}) AS r FROM train GROUP BY 1),
 hor_{n} AS (SELECT series, max(step) + 1 AS h FROM test GROUP BY 1),
 rec_{n}(series, step, r, p, b0, b, h) AS (
@@ -132,19 +140,74 @@ def g6(s, d):
     return evaluate.score(G.forecast_lagged_regression(rows, histories, ROLES, [4, 8, 12]), by=["model"])
 
 
-@query("g7_arima", FORECAST)
+def _arma(season: int | None, model: str) -> str:
+    """CTEs ending in ``arma``: two least-squares stages, the fallback, and the recursive forecast."""
+    lags = [1] if season is None else [1, season, season + 1]
+    reach, long = max(lags), max(lags) + 2
+    change = "y - lag(y, 1) OVER o"
+    if season is not None:
+        change += f" - lag(y, {season}) OVER o + lag(y, {season + 1}) OVER o"
+    earlier = ", ".join(f"lag(w, {k}) OVER o AS l{k}" for k in range(1, long + 1))
+    both = ", ".join(f"lag(w, {k}) OVER o AS w{k}, lag(e, {k}) OVER o AS e{k}" for k in lags)
+    xs = [*(f"w{k}" for k in lags), *(f"e{k}" for k in lags)]
+    window = "WINDOW o AS (PARTITION BY series ORDER BY week_start)"
+    # The autoregressive part is stable if no reflection coefficient of the step-down recursion reaches 1.
+    dense = "[" + ", ".join(f"b[{lags.index(k) + 1}]" if k in lags else "0.0" for k in range(1, reach + 1)) + "]"
+    down = ("list_reduce(list_prepend({p}, list_transform(range({r}), lambda k: CAST([] AS DOUBLE[]))), lambda a, k: "
+            "CASE WHEN len(a) = 0 THEN a WHEN abs(a[len(a)]) >= 1 THEN [9.0::DOUBLE] WHEN len(a) = 1 THEN [] "
+            "ELSE list_transform(range(1, len(a)), lambda i: (a[i] + a[len(a)] * a[len(a) - i]) / (1 - a[len(a)] * a[len(a)])) END)"
+            ).format(p=dense, r=reach + 1)
+    terms = " + ".join([f"b[{i + 1}] * w[{k}]" for i, k in enumerate(lags)] + [f"b[{i + 1 + len(lags)}] * e[{k}]" for i, k in enumerate(lags)])
+    undone = "v[1]" if season is None else f"v[1] + v[{season}] - v[{season + 1}]"
+    return f"""
+changed AS (SELECT * FROM (SELECT series, week_start, {change} AS w FROM train {window}) WHERE w IS NOT NULL),
+longs AS (SELECT * FROM (SELECT series, week_start, w AS y, {earlier} FROM changed {window}) WHERE l{long} IS NOT NULL),
+{_fit("long", "longs", [f"l{k}" for k in range(1, long + 1)])},
+rest AS (SELECT series, week_start, y AS w, y - (b0 + list_inner_product(b, [{", ".join(f"l{k}" for k in range(1, long + 1))}])) AS e
+  FROM longs JOIN fit_long USING (series)),
+shorts AS (SELECT * FROM (SELECT series, week_start, w AS y, {both} FROM rest {window}) WHERE w{reach} IS NOT NULL),
+{_fit("arma", "shorts", xs)},
+single AS (SELECT * FROM (SELECT series, y, lag(y, 1) OVER o AS x1 FROM train {window}) WHERE x1 IS NOT NULL),
+{_fit("ar1", "single", ["x1"])},
+newest AS (SELECT series, list(y ORDER BY week_start DESC)[1:{reach}] AS v FROM train GROUP BY 1),
+tails AS (SELECT series, list(w ORDER BY week_start DESC)[1:{reach}] AS w, list(e ORDER BY week_start DESC)[1:{reach}] AS e FROM rest GROUP BY 1),
+ends AS (SELECT series, max(step) + 1 AS h FROM test GROUP BY 1),
+starts AS (SELECT series, v, w, e, f.b0, f.b, a.b0 AS a0, a.b[1] AS a1, h,
+    f.n > {len(xs) + 1} AND len({down.replace("b[", "f.b[")}) = 0 AS usable
+  FROM newest JOIN tails USING (series) JOIN fit_arma f USING (series) JOIN fit_ar1 a USING (series) JOIN ends USING (series)),
+walk(series, step, v, w, e, x, p, b0, b, a0, a1, h, usable) AS (
+  SELECT series, -1, v, w, e, v[1], CAST(NULL AS DOUBLE), b0, b, a0, a1, h, usable FROM starts
+  UNION ALL
+  SELECT series, step + 1, list_prepend(nw + {undone}, v)[1:{reach}], list_prepend(nw, w)[1:{reach}], list_prepend(0.0, e)[1:{reach}],
+    a0 + a1 * x, CASE WHEN usable THEN nw + {undone} ELSE a0 + a1 * x END, b0, b, a0, a1, h, usable
+  FROM (SELECT *, b0 + {terms} AS nw FROM walk WHERE step + 1 < h)),
+arma AS (SELECT '{model}' AS model, t.series, t.week_start, t.step, t.y AS actual, k.p AS predicted
+  FROM walk k JOIN test t ON t.series = k.series AND t.step = k.step)"""
+
+
+# Long recursions: compared to three digits.
+STEPPED = "model string, region_txt string, week_start date, step int, actual double, predicted double"
+ROUNDED = "SELECT model, series AS region_txt, week_start, step, actual, round(predicted, 3) + 0.0 AS predicted FROM arma"
+
+
+@query("g7_arima", STEPPED, f"WITH RECURSIVE {BASE}, {_arma(None, 'ARIMA')} {ROUNDED}")
 def g7(s, d):
     rows = split_panel(s, d)
-    return G.forecast_arma(rows, G.history_table(rows, ROLES), ROLES, None)
+    return G.forecast_arma(rows, G.history_table(rows, ROLES), ROLES, None).withColumn("predicted", F.round("predicted", 3))
 
 
-@query("g7_sarima", FORECAST)
+@query("g7_sarima", STEPPED, f"WITH RECURSIVE {BASE}, {_arma(12, 'SARIMA')} {ROUNDED}")
 def g7_seasonal(s, d):
     rows = split_panel(s, d)
-    return G.forecast_arma(rows, G.history_table(rows, ROLES), ROLES, 12)
+    return G.forecast_arma(rows, G.history_table(rows, ROLES), ROLES, 12).withColumn("predicted", F.round("predicted", 3))
+
 
+EVERY = "every AS (SELECT * FROM naive UNION ALL SELECT * FROM moving UNION ALL SELECT * FROM linear_4 UNION ALL SELECT * FROM arma)"
 
-@query("g8_all_baselines", "model string, n long, RMSE r6, MAE r6, R2 r6")
+
+@query("g8_all_baselines", "model string, n long, RMSE r6, MAE r6, R2 r6",
+       f"""WITH RECURSIVE {BASE}, {NAIVE}, {_moving((4,))}, {_regression(4)}, {_arma(12, 'SARIMA')}, {EVERY}
+       SELECT * FROM ({Q.metrics('every', 'model')})""")
 def g8(s, d):
     return G.run_all_baselines(split_panel(s, d), ROLES)
 
@@ -157,6 +220,32 @@ def g8_checked(s, d):
     return G.run_all_baselines(split_panel(s, d), ROLES).filter(F.col("model") != "SARIMA")
 
 
+# Forecasts that run through the validation rows, so that test rows meet the forecasts for their own dates.
+GAP_BASE = BASE.replace("FROM splitted WHERE split = 'test'", "FROM splitted WHERE split <> 'train'")
+ALIGNED = """aligned AS (SELECT e.* REPLACE (CAST(row_number() OVER (PARTITION BY model, series ORDER BY week_start) - 1 AS INTEGER) AS step)
+  FROM every e JOIN splitted s USING (series, week_start) WHERE s.split = 'test')"""
+
+
+@query("g1_aligned_naive", FORECAST,
+       f"WITH {GAP_BASE}, {NAIVE}, every AS (SELECT * FROM naive), {ALIGNED} SELECT *, series AS region_txt FROM aligned")
+def g1_aligned(s, d):
+    return G.forecast_seasonal_naive(G.history_table(split_panel(s, d), ROLES, gap=True), ROLES)
+
+
+@query("g5_aligned_forecast", FORECAST,
+       f"WITH RECURSIVE {GAP_BASE}, {_regression(4)}, every AS (SELECT * FROM linear_4), {ALIGNED} SELECT *, series AS region_txt FROM aligned")
+def g5_aligned(s, d):
+    rows = split_panel(s, d)
+    return G.forecast_lagged_regression(rows, G.history_table(rows, ROLES, gap=True), ROLES)
+
+
+@query("g8_aligned_baselines", "model string, n long, RMSE r6, MAE r6, R2 r6",
+       f"""WITH RECURSIVE {GAP_BASE}, {NAIVE}, {_moving((4,))}, {_regression(4)}, {_arma(12, 'SARIMA')}, {EVERY}, {ALIGNED}
+       SELECT * FROM ({Q.metrics('aligned', 'model')})""")
+def g8_aligned(s, d):
+    return G.run_all_baselines(split_panel(s, d), ROLES, gap=True)
+
+
 # --- learned models and ablations -----------------------------------------------------------
 
 def full_panel(s, d):

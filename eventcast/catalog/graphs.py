@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from eventcast.catalog import sqltext as Q
 from eventcast.catalog.registry import query
-from eventcast.operators import encode, evaluate, graph, regress, split
+from eventcast.catalog.texts import VECTOR_SIZE
+from eventcast.operators import embed, encode, evaluate, graph, regress, split
 from eventcast.operators.attach import attach
 from eventcast.session import stage, stage_table
 from eventcast.sources import tables as T
@@ -150,7 +152,8 @@ def n10(s, d):
 
     The graph here leaves out the type nodes, which would carry the label.
     """
-    wanted = ["eventid", "date_node", "location_node", "attacktype1_txt", "weaptype1_txt", "targtype1_txt",
+    classes = ["weaptype1_txt", "targtype1_txt", "country_txt"]
+    wanted = ["eventid", "date_node", "location_node", "attacktype1_txt", "city", *classes,
               "nkill", "nwound", "latitude", "longitude"]
     # Read by every step below, so the joins behind it run once.
     events = stage(graph.with_node_ids(T.featured_incidents(s, d)).select(*wanted))
@@ -162,14 +165,16 @@ def n10(s, d):
     places = spread.select(
         F.col("id").alias("location_node"), F.col("killed").alias("near_killed"), F.col("wounded").alias("near_wounded")
     )
-    codes = encode.fit_label_codes(events, ["attacktype1_txt"])
-    rows = attach(encode.apply_label_codes(events, codes, ["attacktype1_txt"]), places, "location_node")
+    codes = encode.fit_label_codes(events, ["attacktype1_txt", *classes])
+    rows = attach(encode.apply_label_codes(events, codes, ["attacktype1_txt", *classes]), places, "location_node")
     numeric = ["nkill", "nwound", "latitude", "longitude", "near_killed", "near_wounded"]
     seen = encode.fit_scaler(rows.filter(F.col("split") == "train"), numeric)
     rows = encode.apply_scaler(rows, seen, numeric, "standard")
-    rows = encode.one_hot(rows, encode.category_levels(rows, ["weaptype1_txt", "targtype1_txt"]))
-    hot = [c for c in rows.columns if c.startswith(("weaptype1_txt_", "targtype1_txt_"))]
-    vectors = VectorAssembler(inputCols=[*numeric, *hot], outputCol="features").transform(rows)
+    cities = embed.fit_word_vectors(events.select(F.array("city").alias("tokens")), "tokens", VECTOR_SIZE)
+    rows = embed.attach_vectors(rows, cities, "city", VECTOR_SIZE, "_city").withColumn("city_vector", array_to_vector("_city"))
+    hot = OneHotEncoder(inputCols=[f"{c}_encoded" for c in classes], outputCols=[f"{c}_hot" for c in classes], dropLast=False)
+    rows = hot.fit(rows).transform(rows)
+    vectors = VectorAssembler(inputCols=[*numeric, *hot.getOutputCols(), "city_vector"], outputCol="features").transform(rows)
     found = regress.classify(
         vectors.select("eventid", "split", "features", "attacktype1_txt_encoded"), "features", "attacktype1_txt_encoded"
     )

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from eventcast import schema as S
 from eventcast.catalog import sqltext as Q
 from eventcast.catalog.registry import query
-from eventcast.operators import encode, panel, split
+from eventcast.catalog.texts import VECTOR_SIZE
+from eventcast.operators import embed, encode, panel, split
 from eventcast.operators import sequences as E
 from eventcast.plans import features
+from eventcast.session import stage
 from eventcast.sources import tables as T
 
 MEASURES = list(S.PANEL_MEASURES)
@@ -337,6 +339,44 @@ def e22(s, d):
     )
 
 
+NODE_CLASSES = ["attacktype1_txt", "targtype1_txt", "weaptype1_txt", "country_txt"]
+NODE_NUMBERS = ["latitude", "longitude", "nkill", "nwound"]
+NODE_FLAGS = {"is_weekend": "isodow(date) >= 6", "claimed": "eventid % 2 = 0", "suicide": "eventid % 7 = 0", "success": "nkill > 0"}
+
+
+def _node_block_sql() -> str:
+    """One row per event: its entries as index:value, values in millionths."""
+    offset, parts = "0", []
+    for c in NODE_CLASSES:
+        parts.append(f"{{'i': {offset} + dense_rank() OVER (ORDER BY {c}) - 1, 'v': CAST(1 AS DOUBLE)}}")
+        offset += f" + n_{c}"
+    for k, c in enumerate(NODE_NUMBERS):
+        parts.append(f"{{'i': {offset} + {k}, 'v': CASE WHEN s_{c} = 0 THEN 0 ELSE ({c} - m_{c}) / s_{c} END}}")
+    for k, c in enumerate(NODE_FLAGS):
+        parts.append(f"{{'i': {offset} + {len(NODE_NUMBERS) + k}, 'v': CAST(CAST({NODE_FLAGS[c]} AS INTEGER) AS DOUBLE)}}")
+    first = f"{offset} + {len(NODE_NUMBERS) + len(NODE_FLAGS)}"
+    start = "CAST('0x' || substr(md5(city || ':' || k), 1, 8) AS BIGINT) / 2147483648.0 - 1.0"
+    facts = ", ".join([*(f"count(DISTINCT {c}) AS n_{c}" for c in NODE_CLASSES), *(
+        f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NODE_NUMBERS)])
+    return f"""WITH {Q.FEAT}, facts AS (SELECT {facts} FROM feat),
+      entries AS (SELECT eventid, {first} + {VECTOR_SIZE} AS size, [{", ".join(parts)}]
+        || list_transform(range({VECTOR_SIZE}), lambda k: {{'i': {first} + k, 'v': {start}}}) AS l FROM feat, facts)
+      SELECT eventid, size, array_to_string(list_transform(list_filter(l, lambda x: x.v IS NOT NULL AND x.v <> 0),
+        lambda x: x.i || ':' || CAST(round(x.v * 1000000) AS BIGINT)), ' ') AS entries FROM entries"""
+
+
+@query("e22_node_block", "eventid long, size int, entries string", _node_block_sql())
+def e22_block(s, d):
+    events = features.temporal(T.featured_incidents(s, d)).withColumns({
+        "claimed": F.col("eventid") % 2 == 0, "suicide": F.col("eventid") % 7 == 0, "success": F.col("nkill") > 0})
+    events = stage(events.select("eventid", "city", *NODE_CLASSES, *NODE_NUMBERS, *NODE_FLAGS))
+    vectors = embed.fit_word_vectors(events.select(F.array("city").alias("tokens")), "tokens", VECTOR_SIZE)
+    block = encode.node_block(events, "eventid", NODE_CLASSES, NODE_NUMBERS, list(NODE_FLAGS), vectors, "city", VECTOR_SIZE)
+    cells = F.zip_with("indices", "values", lambda i, v: F.concat(
+        i.cast("string"), F.lit(":"), F.round(v * 1000000).cast("long").cast("string")))
+    return block.select("eventid", "size", F.array_join(cells, " ").alias("entries"))
+
+
 @query("e23_non_finite", "column_name string, has_nan boolean, has_infinity boolean",
        """SELECT 'clean' AS column_name, false AS has_nan, false AS has_infinity UNION ALL
        SELECT 'with_nan', (SELECT bool_or(o_orderkey % 50 = 0) FROM orders), false UNION ALL

@@ -140,6 +140,43 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="keep").transform(df)
 
 
+def node_block(
+    df: DataFrame, key: str, categorical: Sequence[str], numeric: Sequence[str], binary: Sequence[str],
+    vectors: DataFrame | None = None, word: str | None = None, vector_size: int = 0,
+) -> DataFrame:
+    """(key, size, indices, values): sparse node features of every row.
+
+    In order: a one-hot block per categorical column, no level dropped; the numeric columns, standardised over all rows;
+    the 0/1 columns; the vector of the row's word. The categories stay a distributed dictionary: only the width of each
+    block comes to the driver. Nulls, absent words and zeros have no entry.
+    """
+    codes = fit_label_codes(df, categorical)
+    widths = {r["column_name"]: r["count"] for r in codes.groupBy("column_name").count().collect()}
+    rows = apply_label_codes(df, codes, categorical)
+    rows = apply_scaler(rows, fit_scaler(df, numeric), numeric, "standard")
+    entries, at = [], 0
+
+    def entry(index: Column, value: Column) -> Column:
+        return F.struct(index.cast("int").alias("index"), value.cast("double").alias("value"))
+
+    for c in categorical:
+        entries.append(entry(F.col(f"{c}_encoded") + at, F.when(F.col(f"{c}_encoded").isNotNull(), 1.0)))
+        at += widths.get(c, 0)
+    for c in [*numeric, *binary]:
+        entries.append(entry(F.lit(at), F.col(c).cast("double")))
+        at += 1
+    found = F.array(*entries)
+    if vectors is not None:
+        lookup = vectors.select(F.col("word").alias(word), F.col("vector").alias("_vector"))
+        rows = attach(rows, lookup, word, staged=True)
+        part = F.transform(F.coalesce("_vector", F.array().cast("array<double>")), lambda v, k: entry(k + at, v))
+        found, at = F.concat(found, part), at + vector_size
+    found = F.filter(found, lambda x: x["value"].isNotNull() & (x["value"] != 0))
+    return rows.select(key, F.lit(at).alias("size"), found.alias("_entries")).select(
+        key, "size", F.transform("_entries", lambda x: x["index"]).alias("indices"),
+        F.transform("_entries", lambda x: x["value"]).alias("values"))
+
+
 def non_finite_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, has_nan, has_infinity)."""
     infinity = float("inf")

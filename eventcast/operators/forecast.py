@@ -39,17 +39,24 @@ class Series:
     target: str
 
 
-def history_table(panel: DataFrame, roles: Series) -> DataFrame:
-    """One row per series: ``history`` (train), ``actual`` and ``dates`` (test), in time order."""
+def history_table(panel: DataFrame, roles: Series, gap: bool = False) -> DataFrame:
+    """One row per series: ``history`` (train), ``actual`` and ``dates`` (test), in time order, and ``skipped``.
+
+    Without ``gap`` the first forecast after the train rows is held against the first test row, whatever lies between
+    them. With ``gap`` the forecasts run through the periods in between, ``skipped`` of them, so that every test row is
+    held against the forecast for its own date.
+    """
     point = F.struct(F.col(roles.time).alias("t"), F.col(roles.target).cast("double").alias("v"))
 
     def ordered(split: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("split") == split, point)))
 
     return panel.groupBy(roles.by).agg(
-        ordered("train").alias("_train"), ordered("test").alias("_test")
+        ordered("train").alias("_train"), ordered("test").alias("_test"),
+        F.count_if(F.col("split") == "val").cast("int").alias("_between"),
     ).select(
         roles.by,
+        (F.col("_between") if gap else F.lit(0)).alias("skipped"),
         F.col("_train.v").alias("history"),
         F.col("_test.t").alias("dates"),
         F.col("_test.v").alias("actual"),
@@ -58,6 +65,7 @@ def history_table(panel: DataFrame, roles: Series) -> DataFrame:
 
 def unfold(forecasts: DataFrame, by: str, time: str, forecast: Column, model: str) -> DataFrame:
     """Long form: one row per test step with the actual and the predicted value."""
+    forecast = F.slice(forecast, F.col("skipped") + 1, F.size("actual"))
     rows = F.arrays_zip(
         F.col("dates").alias("t"), F.col("actual").alias("a"), forecast.alias("p")
     )
@@ -70,6 +78,11 @@ def unfold(forecasts: DataFrame, by: str, time: str, forecast: Column, model: st
     )
 
 
+def _horizon() -> Column:
+    """Periods from the last train row to the last test row, as far as they are forecast."""
+    return F.col("skipped") + F.size("actual")
+
+
 def _steps(horizon: Column) -> Column:
     return F.when(horizon > 0, F.sequence(F.lit(1), horizon)).otherwise(
         F.array().cast("array<int>")
@@ -115,9 +128,8 @@ def moving_average(history: Column, horizon: Column, window: int = 4) -> Column:
 
 
 def forecast_seasonal_naive(histories: DataFrame, roles: Series, period: int = 52) -> DataFrame:
-    steps = F.size("actual")
     return unfold(histories, roles.by, roles.time,
-                  seasonal_naive(F.col("history"), steps, period), "Seasonal Naive")
+                  seasonal_naive(F.col("history"), _horizon(), period), "Seasonal Naive")
 
 
 def forecast_moving_average(
@@ -126,7 +138,7 @@ def forecast_moving_average(
     """One or several windows; the sweep is a union over the same small history table."""
     parts = [
         unfold(histories, roles.by, roles.time,
-               moving_average(F.col("history"), F.size("actual"), w),
+               moving_average(F.col("history"), _horizon(), w),
                f"Moving Average (window={w})")
         for w in windows
     ]
@@ -256,7 +268,7 @@ def forecast_lagged_regression(
         else:
             rows = histories.join(fitted, roles.by)
         forecast = lagged_regression(
-            F.col("history"), F.size("actual"), F.col("coefficients"), n
+            F.col("history"), _horizon(), F.col("coefficients"), n
         )
         parts.append(unfold(rows, roles.by, roles.time, forecast, f"Linear Regression (lags={n})"))
     return reduce(DataFrame.unionByName, parts)
@@ -367,16 +379,16 @@ def forecast_arma(
     fitted = fit_arma(panel, roles, season)
     rows = histories.join(fitted, roles.by)
     forecast = arma_forecast(
-        F.col("history"), F.size("actual"), {c: F.col(c) for c in ("arma", "ar1", "w", "e")}, season
+        F.col("history"), _horizon(), {c: F.col(c) for c in ("arma", "ar1", "w", "e")}, season
     )
     return unfold(rows, roles.by, roles.time, forecast, "ARIMA" if season is None else "SARIMA")
 
 
 # --- all baselines --------------------------------------------------------------------------
 
-def all_forecasts(panel: DataFrame, roles: Series, period: int = 52) -> DataFrame:
+def all_forecasts(panel: DataFrame, roles: Series, period: int = 52, gap: bool = False) -> DataFrame:
     """Forecasts of the four baselines over the same split panel, long form."""
-    histories = history_table(panel, roles)
+    histories = history_table(panel, roles, gap)
     parts = [
         forecast_seasonal_naive(histories, roles, period),
         forecast_moving_average(histories, roles),
@@ -386,10 +398,10 @@ def all_forecasts(panel: DataFrame, roles: Series, period: int = 52) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
-def run_all_baselines(panel: DataFrame, roles: Series, period: int = 52) -> DataFrame:
+def run_all_baselines(panel: DataFrame, roles: Series, period: int = 52, gap: bool = False) -> DataFrame:
     """model, RMSE, MAE, MSE, R2 sorted by RMSE; a model without forecasts is left out."""
     scored = evaluate.score(
-        all_forecasts(panel, roles, period).filter(F.col("predicted").isNotNull()),
+        all_forecasts(panel, roles, period, gap).filter(F.col("predicted").isNotNull()),
         "actual", "predicted", ["model"],
     )
     return evaluate.rank_by_rmse(scored)
