@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from eventcast.llm.base import map_slices, ramp
 
@@ -141,9 +142,10 @@ def find_passages(index: GramIndex, texts: list[str | None]) -> list[tuple[int,
     waiting: dict[int, list] = {}
     for row, text in enumerate(texts):
         codes = characters(text or "")
-        if index.short and 0 < len(codes) < 64:
-            for number in index.short.get(characters(text.strip()).tobytes(), ()):
-                best[row, number] = (0, 0, len(codes))
+        if index.short and text and len(bare := text.strip()) < Q:
+            lead = len(text) - len(text.lstrip())
+            for number in index.short.get(characters(bare).tobytes(), ()):
+                best[row, number] = (0, lead, lead + len(bare))
         if not len(index.hashes):
             continue
         for start in range(0, max(1, len(codes) - Q + 1), TEXT_BLOCK):
@@ -188,12 +190,13 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edits): one row per row of ``docs`` and item it holds a stretch of.
 
     Positions count characters; of several places the one with the fewest edits is given. Null and
-    empty texts and items match nothing; items under eight characters match only a text that is the item.
+    empty texts and items match nothing; items under eight characters match only a text that is the item, but for
+    blanks around either. Ids may be of any type that Arrow knows.
     Benchmarks of any size are taken in blocks, all documents against each.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    item_type = pa.int64() if item_kind in ("bigint", "long") else None
+    item_type = to_arrow_schema(benchmark.select("item_id").schema).field(0).type
     schema = f"doc_id {kind}, item_id {item_kind}, start long, end long, edits int"
     out = spark.createDataFrame([], schema)
     for ids, texts in _blocks(benchmark):

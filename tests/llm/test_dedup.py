@@ -184,6 +184,18 @@ def test_passages_equal_brute_force(spark):
     assert left == set(range(len(texts))) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("kind", ["int", "short", "string", "long"])
+def test_short_items_in_padded_texts_and_ids_of_other_types(spark, kind):
+    ids = [str(i) if kind == "string" else i for i in range(2)]
+    bench = spark.createDataFrame([(ids[0], " tiny "), (ids[1], "a longer item of the benchmark")], f"item_id {kind}, text string")
+    texts = ["tiny", " " * 70 + "tiny" + "\n" * 70, "tiny!", " tiny", "x a longer item of the benchmark y"]
+    found = decontaminate.passages(table(spark, texts), bench)
+    assert dict(found.dtypes)["item_id"] == bench.dtypes[0][1]
+    assert sorted((r["doc_id"], r["item_id"], r["start"], r["end"]) for r in found.collect() if r["doc_id"] < 4) == [
+        (0, ids[0], 0, 4), (1, ids[0], 70, 74), (3, ids[0], 1, 5)]
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(table(spark, texts), bench).collect()} == {2}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     rng = random.Random(13)
     items = [prose(rng, 30) for _ in range(12)]
