@@ -62,56 +62,75 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
 
+def _entries(headers: Column) -> Column:
+    return F.array_sort(F.map_entries(headers))
+
+
+def _lower_names(headers: Column) -> Column:
+    """Headers by name in lower case; of names that differ by case only, the first in order counts. Null is empty."""
+    named = F.transform(_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    named = F.coalesce(named, F.array().cast("array<struct<key:string,value:string>>"))
+    names = F.transform(named, lambda e: e["key"])
+    return F.map_from_entries(F.filter(named, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+
 def _judged(named: DataFrame) -> DataFrame:
     """Revisits with outcome, refers_to and the slot and distance of the as-of join; no payload moves here."""
     known = F.col("canonical").isNotNull() & F.col("captured").isNotNull() & F.col("record_id").isNotNull()
     is_revisit = F.col("kind") == "revisit"
     keys = named.filter(known).select(
-        "record_id", "canonical", "captured", "kind", _digest(_weak(F.col("etag"))).alias("_tag"),
+        "record_id", "canonical", "captured", "kind", "_same", _digest(_weak(F.col("etag"))).alias("_tag"),
         _digest(F.col("last_modified")).alias("_date"), F.when(is_revisit, F.col("headers")).alias("headers"))
-    matched = latest_before(keys, "canonical", ["captured", "record_id"], F.col("kind") == "response", ["_tag", "_date"])
+    matched = latest_before(keys, "canonical", ["captured", "record_id", "_same"], F.col("kind") == "response", ["_tag", "_date"])
     tagged, dated = F.col("_tag").isNotNull(), F.col("_date").isNotNull()
     agrees = F.when(tagged, F.col("_tag") == F.col("_latest._tag")).otherwise(F.col("_date") == F.col("_latest._date"))
     outcome = (F.when(F.col("_latest").isNull(), "no_earlier_response").when(~tagged & ~dated, "no_validator")
                .when(agrees, "resolved").otherwise("validator_mismatch"))
     matched = matched.filter(is_revisit).select(
         "record_id", "canonical", "captured", "kind", outcome.alias("outcome"),
-        F.col("_latest.record_id").alias("refers_to"), "headers", "_slot", "_far")
+        F.col("_latest.record_id").alias("refers_to"), F.col("_latest.captured").alias("_from"),
+        F.col("_latest._same").alias("_as"), "headers", "_slot", "_far")
     return stage_table(matched)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Records (record_id unique, url, captured, kind, etag, last_modified, headers map, payload) with outcomes.
+    """Records (record_id, url, captured, kind, etag, last_modified, headers map, payload) with outcomes, a row for a row.
 
-    Returns record_id, canonical, captured, kind, outcome, refers_to, headers, payload. ``kind`` is ``response`` or
-    ``revisit``; outcomes are ``original`` for responses and, for revisits, ``resolved``, ``no_earlier_response``,
-    ``no_validator`` or ``validator_mismatch``. Entity tags compare weakly; a tag decides over the date. Only
-    resolved revisits get a payload and merged headers; the others keep their own headers. Equal capture
-    times are ordered by record_id. Rows without url, time or id take no part in the join: responses stay as
-    they are, revisits have no earlier response. Header names must be in lower case.
+    Returns record_id, canonical, captured, kind, outcome, refers_to, headers, payload. Outcomes are ``original`` for
+    kind ``response``; for kind ``revisit`` they are ``resolved``, ``no_earlier_response``, ``no_validator`` or
+    ``validator_mismatch``; rows of other kinds or none stay as they are, as ``other_kind``. Entity tags compare weakly; a
+    tag decides over the date. Only resolved revisits get a payload and merged headers, whose names are in lower case;
+    the others keep their own headers. Equal capture times are ordered by record_id, and records that repeat an id by a
+    digest of their content; equal records stand for each other. Rows without url, time or id take no part in the
+    join: responses stay as they are, revisits have no earlier response.
 
     The as-of join moves no payloads: it compares digests of the validators. Payloads are shuffled once, for the
     revisits that take them over.
     """
     named = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "captured", "kind", "etag",
                            "last_modified", "headers", "payload")
+    # Tells apart records that repeat an id: equal only for equal records.
+    same = F.sha2(F.concat_ws(",", *[F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in (
+        "canonical", "kind", "etag", "last_modified", "payload")], F.sha2(F.to_json(_entries(F.col("headers"))), 256)), 256)
+    named = named.withColumn("_same", F.unhex(same))
     columns = ["record_id", "canonical", "captured", "kind", "outcome", "refers_to", "headers", "payload"]
     judged = _judged(named)
 
     # A response that revisits of other slots confirm goes to each of these slots too, so no task gets more than
     # a slot holds. There are fewer such pairs than slots: each is the first key of its slot.
     resolved = judged.filter("outcome = 'resolved'").withColumn("_part", F.when(F.col("_far"), F.col("_slot")).otherwise(-1))
-    far = resolved.filter("_far").groupBy("refers_to").agg(F.collect_set("_slot").alias("_parts"))
+    which = ["refers_to", "_from", "_as"]
+    far = resolved.filter("_far").groupBy(*which).agg(F.collect_set("_slot").alias("_parts"))
     responses = named.filter("kind = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("headers").alias("_stored"), F.col("payload").alias("_body"))
-    responses = responses.join(F.broadcast(far), "refers_to", "left").withColumn("_part", F.explode(
+        F.col("record_id").alias("refers_to"), F.col("captured").alias("_from"), F.col("_same").alias("_as"),
+        F.col("headers").alias("_stored"), F.col("payload").alias("_body"))
+    responses = responses.join(F.broadcast(far), which, "left").withColumn("_part", F.explode(
         F.concat(F.array(F.lit(-1)), F.coalesce("_parts", F.array().cast("array<int>"))))).drop("_parts")
     # The hint keeps the plan the same at every size.
-    joined = resolved.join(responses.hint("merge"), ["refers_to", "_part"], "left")
-    fresh = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")),
-                         lambda name, _: ~name.isin(*KEPT_HEADERS))
-    stays = F.map_filter(F.coalesce("_stored", F.create_map().cast("map<string,string>")),
-                         lambda name, _: ~F.array_contains(F.map_keys(fresh), name))
+    once = responses.groupBy(*which, "_part").agg(F.first("_stored").alias("_stored"), F.first("_body").alias("_body"))
+    joined = resolved.join(once.hint("merge"), [*which, "_part"], "left")
+    fresh = F.map_filter(_lower_names(F.col("headers")), lambda name, _: ~name.isin(*KEPT_HEADERS))
+    stays = F.map_filter(_lower_names(F.col("_stored")), lambda name, _: ~F.array_contains(F.map_keys(fresh), name))
     joined = joined.withColumn("headers", F.map_concat(stays, fresh)).withColumnRenamed("_body", "payload").select(*columns)
 
     no_id = F.lit(None).cast(records.schema["record_id"].dataType).alias("refers_to")
@@ -123,7 +142,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         no_payload)
     originals = named.filter("kind = 'response'").select(
         "record_id", "canonical", "captured", "kind", F.lit("original").alias("outcome"), no_id, "headers", "payload")
-    return originals.unionByName(joined).unionByName(others).unionByName(apart)
+    strange = named.filter(F.col("kind").isNull() | ~F.col("kind").isin("response", "revisit")).select(
+        "record_id", "canonical", "captured", "kind", F.lit("other_kind").alias("outcome"), no_id, "headers", "payload")
+    return originals.unionByName(joined).unionByName(others).unionByName(apart).unionByName(strange)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
