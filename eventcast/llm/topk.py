@@ -16,10 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from eventcast.llm.base import ramp
-from eventcast.session import stage_table
+from eventcast.operators.attach import attach
+from eventcast.operators.rank import global_rank
+from eventcast.session import stage, stage_table
 
 LEVELS = (16, 8, 4, 2, 0)  # least magnitude of each impact level
 INDEX_BLOCK = 8192
@@ -45,8 +48,11 @@ def segments(matrix: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return parts, np.array(left)
 
 
-def block_top(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int):
-    """(query position, vector position, score) of each query's best ``k`` in one block, exact."""
+def block_top(queries: np.ndarray, query_rows: np.ndarray, matrix: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+    """(query position, vector position, score) of each query's best ``k`` in one block, exact.
+
+    ``query_rows`` and ``rows`` are row numbers: a query does not meet its own row.
+    """
     width = max(queries.shape[1], matrix.shape[1])
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
     matrix = np.pad(matrix, ((0, 0), (0, width - matrix.shape[1])))
@@ -56,7 +62,7 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, id
     parts, left = segments(matrix.astype(kind))
     norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
     scores = np.zeros((len(q), len(matrix)), kind)
-    own = query_ids[:, None] == ids[None, :] if len(np.intersect1d(query_ids, ids)) else None
+    own = query_rows[:, None] == rows[None, :] if len(np.intersect1d(query_rows, rows)) else None
     for level, part in enumerate(parts):
         scores += q @ part.T
         slack = (norms[:, None] * left[level][None, :] * (1 + 1e-6)).astype(kind)
@@ -105,11 +111,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     """(query_id, rank, vec_id, score): the ``k`` best other rows of each query row, ties to the smaller id.
 
     Rows with a null id, a null vector or a component that is null or not finite take no part; shorter
-    vectors count as padded with zeros. A query never meets rows of its own id. Repeated query rows
-    each get a result.
+    vectors count as padded with zeros. A query does not meet its own row, but other rows of its id. Repeated
+    query rows each get a result. Ids may be of any type with an order.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"),
+    rows = vectors.select(F.col(id_col).alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"),
                           is_query.alias("asks")).filter("vec_id is not null and v is not null")
+    kind = rows.schema["vec_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        # Other ids are replaced by their place among all ids, and back at the end.
+        names = stage(global_rank(rows.select("vec_id").distinct(), ["vec_id"], out="_place"))
+        rows = attach(rows, names, "vec_id", "inner", staged=True).withColumn("vec_id", F.col("_place")).drop("_place")
+        found = _top_numbers(rows, k)
+        for column in ("query_id", "vec_id"):
+            back = names.select(F.col("_place").alias(column), F.col("vec_id").alias("_name"))
+            found = attach(found, back, column, "inner", staged=True).withColumn(column, F.col("_name")).drop("_name")
+        return found.select("query_id", "rank", "vec_id", "score")
+    found = _top_numbers(rows.withColumn("vec_id", F.col("vec_id").cast("long")), k)
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("query_id", "vec_id")})
+
+
+def _top_numbers(rows: DataFrame, k: int) -> DataFrame:
+    """``top_k`` of (vec_id long, v, asks)."""
     rows = stage_table(rows.withColumn("number", F.monotonically_increasing_id()))
     asked = rows.filter("asks")
     sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
@@ -125,14 +147,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
                 get = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
                 read = lambda c: np.frombuffer(get[c], np.int64)
                 ids, query_ids, numbers = read("block_ids"), read("asking_ids"), read("asking_numbers")
-                qi, vi, exact = block_top(read("asking_rows").reshape(len(query_ids), -1), query_ids,
-                                          read("block_rows").reshape(len(ids), -1), ids, k)
+                qi, vi, exact = block_top(read("asking_rows").reshape(len(query_ids), -1), numbers,
+                                          read("block_rows").reshape(len(ids), -1), read("block_numbers"), ids, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(numbers[qi]), pa.array(query_ids[qi]), pa.array(ids[vi]), pa.array(exact)],
                     names=["number", "query_id", "vec_id", "score"])
 
     met = blocks.join(asks, ["block", "asking"]).select(
-        "block_ids", "block_rows", "asking_numbers", "asking_ids", "asking_rows")
+        "block_ids", "block_rows", "block_numbers", "asking_numbers", "asking_ids", "asking_rows")
     found = met.mapInArrow(score, "number long, query_id long, vec_id long, score long")
     best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
