@@ -175,7 +175,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     """Fit on at most about ``sample`` windows of the labelled rows given.
 
     Every language gets the same share; rows are taken by a hash of the text, one window from a
-    hashed place in each. Rows without a language or a letter are left out. Without any
+    hashed place in each; texts that repeat under one language count once. Rows without a language or a letter are left out. Without any
     language the net has no label and every text is undetermined.
     """
     good = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
@@ -189,7 +189,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     place = F.pmod(F.shiftright("h", 32), F.greatest(F.length("text") - TRAIN_WINDOW, F.lit(0)) + 1).cast("int")
     picked = good.filter(F.pmod("h", F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)).select(
         F.substring("text", place + 1, F.lit(TRAIN_WINDOW)).alias("w"), "lang", "h")
-    rows = sorted(picked.limit(2 * sample + width).collect(), key=lambda r: (r["h"], r["lang"]))
+    once = picked.groupBy("h", "lang").agg(F.min("w").alias("w")).orderBy("h", "lang")
+    rows = once.limit(2 * sample + width).collect()
     return fit([r["w"].encode()[:TRAIN_WINDOW] for r in rows], [r["lang"] for r in rows])
 
 

@@ -374,7 +374,7 @@ def find_personal(net: TagNet | None, texts: list[str]) -> list[tuple[list, list
 
 def train(docs: DataFrame, text: str = "text", sample: int = TRAIN_DOCS) -> TagNet:
     """Fit on windows of about ``sample`` documents at most: half with a digit or @, half of any kind,
-    taken by a hash of the text, and of each one stretch around a hashed place."""
+    taken by a hash of the text, and of each one stretch around a hashed place. Texts that repeat count once."""
     rows = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     digit = F.regexp_instr("t", F.lit("[0-9@]"))
     rows = rows.withColumn("at", digit).withColumn("marked", F.col("at") > 0)
@@ -385,7 +385,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = TRAIN_DOCS) -> TagN
     place = F.when(F.col("marked"), F.col("at")).otherwise(F.pmod(F.shiftright("h", 32), F.length("t")).cast("int"))
     picked = rows.filter(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30)).select(
         F.substring("t", F.greatest(place - 3 * WINDOW, F.lit(1)), F.lit(6 * WINDOW)).alias("t"), "h")
-    texts = [r["t"] for r in sorted(picked.limit(2 * sample).collect(), key=lambda r: (r["h"], r["t"]))]
+    texts = [r["t"] for r in picked.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(2 * sample).collect()]
     return fit(*labelled_windows(texts))
 
 

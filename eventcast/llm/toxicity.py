@@ -39,7 +39,6 @@ SCOPE = 3  # words over which a negation, a target or a verb of saying reaches
 WORD = re.compile(r"[^\W\d_]+(?:'[a-z]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 SAMPLE_DOCS = 30_000  # bound of the labelled sample
-SAMPLE_WORDS = 50_000  # bound of the distinct words weighed, most frequent in toxic documents first
 
 
 @dataclass
@@ -161,7 +160,8 @@ def train(rows: DataFrame, min_docs: int = 4, min_log_odds: float = 3.0) -> Gram
     words = good.select("toxic", F.explode(F.array_distinct(F.split("text", r"[^\p{L}']+"))).alias("word"))
     seen = words.filter(F.length("word") > 2).groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
-    for r in seen.filter(F.col("bad") >= min_docs).orderBy(F.desc("bad"), "word").limit(SAMPLE_WORDS).collect():
+    # The sample bounds the words, too.
+    for r in seen.filter(F.col("bad") >= min_docs).collect():
         odds = math.log((r["bad"] + 0.5) / bad) - math.log((r["fine"] + 0.5) / fine)
         kind = grammar.lexicon.get(r["word"], (None, 0.0))[0]
         if kind in (INSULT, THREAT):

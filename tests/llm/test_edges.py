@@ -81,3 +81,18 @@ def test_stages_keep_columns(spark, edges, nothing, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.dtypes == docs.dtypes, name
             out.collect()
+
+
+def test_fits_do_not_depend_on_the_layout_of_repeated_texts(spark, monkeypatch):
+    """One text repeated far beyond the sample's bound neither fills the sample nor changes it with the layout."""
+    texts = edge_texts() + ["call 0151 or write to a@b.example now"] * 400 + [f"text number {i} about rivers" for i in range(30)]
+    docs = table(spark, texts, [["en", "de", "fr"][i % 3] for i in range(len(texts))])
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda windows, tags, **more: seen.append((list(windows), None)))
+    monkeypatch.setattr(pii, "labelled_windows", lambda texts, **more: (list(texts), None))
+    monkeypatch.setattr(langid, "fit", lambda windows, labels, **more: seen.append((list(windows), list(labels))))
+    for parts in (1, 7):
+        pii.train(docs.repartition(parts), sample=20)
+        langid.train(docs.repartition(parts), sample=60)
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+    assert len(set(seen[0][0])) == len(seen[0][0]) and len(set(zip(*seen[1]))) == len(seen[1][0])

@@ -1,5 +1,6 @@
 """Packing, exact search and revisit resolution."""
 
+import datetime
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -79,13 +80,13 @@ def test_packed_documents(spark):
     assert len(sequences) <= sum(r["length"] for r in rows) // 1024 + 2
 
 
-def plain_top(rows, k):
+def plain_top(rows, k, asks=lambda q: q % 20 == 0):
     good = [(i, np.floor(64 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows
             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
-        if q % 20 == 0:
-            scored = sorted((-int(a @ b), i) for i, b in good if i != q)[:k]
+    for at, (q, a) in enumerate(good):
+        if asks(q):
+            scored = sorted((-int(a @ b), i) for n, (i, b) in enumerate(good) if n != at)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -103,6 +104,20 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, scale):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()) == plain_top(rows, 20)
 
 
+def test_top_k_of_repeated_ids_and_of_texts_as_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 50, rng.normal(size=6).astype(np.float32).tolist()) for i in range(130)]
+    rows += rows[:5]
+    for name, ids in (("long", lambda i: i), ("int", lambda i: i), ("string", lambda i: f"k{i}"), ("date", lambda i: datetime.date(2001, 1, 1 + i % 28))):
+        mine = [(ids(i), v) for i, v in rows]
+        asked = {ids(i) for i in range(0, 50, 20)}
+        df = spark.createDataFrame(mine, f"vec_id {name}, embedding array<float>").repartition(4)
+        found = topk.top_k(df, F.col("vec_id").isin(*asked))
+        assert dict(found.dtypes)["vec_id"] == df.dtypes[0][1] == dict(found.dtypes)["query_id"]
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect())
+        assert got == plain_top(mine, 20, lambda q, asked=asked: q in asked)
+
+
 def test_top_k_of_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 64 * 32 + 32 * 32)]
@@ -141,6 +156,23 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert revisits.resolve_revisits(spark.createDataFrame([], RECORDS)).collect() == []
 
 
+def test_repeated_records_other_kinds_and_header_case(spark):
+    r = lambda i, at, kind, etag, headers, body: (i, "http://e.com/x", at, kind, etag, None, headers, body, "old")
+    response = r(1, 10, "response", '"a"', {"Content-Length": "3", "ETag": '"a"', "etag": "x", "Age": "1"}, "one")
+    twin = r(1, 10, "response", '"a"', {"Content-Length": "3"}, "two")
+    revisit = r(2, 20, "revisit", '"a"', {"CONTENT-LENGTH": "0", "AGE": "2"}, None)
+    rows = [response, response, revisit, revisit, r(3, 30, "request", None, {"X": "y"}, "ask"), r(4, None, None, None, None, "odd")]
+    found = revisits.resolve_revisits(spark.createDataFrame(rows, RECORDS)).collect()
+    assert sorted((x["record_id"], x["outcome"], x["payload"]) for x in found) == [
+        (1, "original", "one"), (1, "original", "one"), (2, "resolved", "one"), (2, "resolved", "one"),
+        (3, "other_kind", "ask"), (4, "other_kind", "odd")]
+    assert all(x["headers"] == {"content-length": "3", "etag": '"a"', "age": "2"} for x in found if x["record_id"] == 2)
+    assert next(x for x in found if x["record_id"] == 3)["headers"] == {"X": "y"}
+    # Two different responses of one id and time: one of them, the same for both revisits.
+    found = revisits.resolve_revisits(spark.createDataFrame([response, twin, revisit, revisit], RECORDS)).collect()
+    assert len(found) == 4 and len({x["payload"] for x in found if x["record_id"] == 2}) == 1
+
+
 def test_one_url_with_most_captures(spark):
     rng = random.Random(2)
     rows, want, last = [], {}, None
