@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
+from eventcast import schema as S
 from eventcast.catalog import sqltext as Q
 from eventcast.catalog.registry import query
 from eventcast.catalog.sequences import dense
 from eventcast.operators import ablate, evaluate, panel, regress, split
 from eventcast.operators import forecast as G
-from eventcast.session import result_table, stage
+from eventcast.session import new_path, result_table, stage
+from eventcast.sources import files
 from eventcast.sources import tables as T
 
 ROLES = G.Series("region_txt", "week_start", "attack_count")
@@ -269,12 +272,28 @@ def g10(s, d):
     return regress.learned_model(full_panel(s, d), "region_txt", "week_start")[0]
 
 
-@query("h4_feature_groups", "group_name string, column_name string")
+GROUPED = {  # feature columns of the panel by group
+    "Casualty Features": ["total_casualties", "total_killed", "total_wounded"],
+    "Lag Features": ["attack_count_lag_52"],
+    "Rolling Statistics": [f"attack_count_rolling_{k}_{n}" for n in (4, 12) for k in ("mean", "std")],
+}
+
+
+@query("h4_feature_groups", "group_name string, column_name string, present long, mean r6",
+       f"WITH {Q.full_panel()} " + " UNION ALL ".join(
+           f"SELECT '{g}' AS group_name, '{c}' AS column_name, count({c}) AS present, avg({c}) AS mean FROM full_panel"
+           for g, members in GROUPED.items() for c in members)
+       + " UNION ALL SELECT 'Geographic Features', 'region_txt', count(series), NULL FROM full_panel")
 def h4(s, d):
-    groups = ablate.feature_groups(full_panel(s, d).columns)
-    return result_table(
+    """The groups of the panel's columns, with the values that each column has."""
+    rows = full_panel(s, d)
+    groups = ablate.feature_groups(rows.columns)
+    named = result_table(
         s, [(g, c) for g, members in groups.items() for c in members], "group_name string, column_name string"
     )
+    columns = [c for members in groups.values() for c in members]
+    held = rows.agg(*[F.struct(F.count(c).alias("present"), F.avg(F.col(c).try_cast("double")).alias("mean")).alias(c) for c in columns])
+    return named.join(held.unpivot([], columns, "column_name", "_v").select("column_name", "_v.*"), "column_name")
 
 
 @query("h5_feature_ablation", """Feature_Group string, Features_Count int, RMSE r6, MAE r6, R2 r6, RMSE_Impact r6,
@@ -301,3 +320,112 @@ def h8(s, d):
 Description string""")
 def h9(s, d):
     return ablate.setting_sweep(full_panel(s, d), "region_txt", "week_start")
+
+
+# --- the same fits without penalty on short windows, which SQL can express -------------------
+
+PLAIN = regress.Regressor("plain", "linear", {"regParam": 0.0})
+FEW = ["total_killed", "attack_count_rolling_mean_4"]
+
+
+def few_columns(s, d):
+    return full_panel(s, d).select("region_txt", "week_start", "attack_count", *FEW)
+
+
+def _windowed(tag: str, features: list[str], length: int, source: str = "full_panel",
+              ratios: tuple[float, float] = S.SPLIT_RATIOS[:2]) -> str:
+    """CTEs ``win_<tag>`` (all windows) and ``pred_<tag>`` (region, target_date, actual, predicted) of the test rows.
+
+    A fit with an intercept and without penalty predicts the same from scaled features.
+    """
+    xs = [f"a{j}_{i}" for j in range(length, 0, -1) for i in range(len(features))]
+    lagged = ", ".join(f"CAST(lag({f}, {j}) OVER o AS DOUBLE) AS a{j}_{i}" for j in range(length, 0, -1) for i, f in enumerate(features))
+    train = f"floor(n * CAST({ratios[0]} AS DOUBLE))"
+    return f"""win_{tag} AS (SELECT *, row_number() OVER (ORDER BY target_date, region) - 1 AS pos, count(*) OVER () AS n FROM (
+  SELECT 'all' AS series, series AS region, week_start AS target_date, CAST(attack_count AS DOUBLE) AS y, {lagged} FROM {source}
+  WINDOW o AS (PARTITION BY series ORDER BY week_start)) WHERE a{length}_0 IS NOT NULL),
+train_{tag} AS (SELECT * FROM win_{tag} WHERE pos < {train}),
+{_fit(tag, f"train_{tag}", xs)},
+pred_{tag} AS (SELECT region, target_date, y AS actual, b0 + list_inner_product(b, [{", ".join(xs)}]) AS predicted
+  FROM win_{tag} w, fit_{tag} WHERE pos >= {train} + floor(w.n * CAST({ratios[1]} AS DOUBLE)))""".replace(
+        f"pos >= {train}", f"pos >= {train.replace('n *', 'w.n *')}")
+
+
+PREDICTED_ROWS = "region_txt string, target_date date, y double, predicted r6"
+G9_SQL = (f"WITH {Q.full_panel()}, {_windowed('few', FEW, 2)} "
+          "SELECT region AS region_txt, target_date, actual AS y, predicted FROM pred_few")
+
+
+def _few_vectors(s, d):
+    from eventcast.operators.sequences import to_vectors
+
+    return to_vectors(regress.model_windows(few_columns(s, d), "region_txt", "week_start", length=2)[0])
+
+
+@query("g9_plain_regressor", PREDICTED_ROWS, G9_SQL)
+def g9_plain(s, d):
+    vectors = _few_vectors(s, d)
+    return regress.predict(regress.train_regressor(vectors, PLAIN), vectors)
+
+
+@query("a10_plain_model_store", PREDICTED_ROWS, G9_SQL)
+def a10_plain(s, d):
+    path, vectors = new_path(s, "model"), _few_vectors(s, d)
+    files.save_model(regress.train_regressor(vectors, PLAIN), path)
+    return regress.predict(files.load_model(LinearRegressionModel, path), vectors)
+
+
+@query("g10_plain_model", RESULT,
+       f"WITH {Q.full_panel()}, {_windowed('few', FEW, 2)} SELECT 'plain' AS model, * FROM ({Q.metrics('pred_few')})")
+def g10_plain(s, d):
+    return regress.learned_model(few_columns(s, d), "region_txt", "week_start", PLAIN, length=2)[0]
+
+
+def _ablated() -> str:
+    kept = {ablate.BASELINE: FEW, "Casualty Features": FEW[1:], "Rolling Statistics": FEW[:1]}
+    parts = [_windowed(f"g{i}", features, 2, ratios=ablate.TWO_WAY) for i, features in enumerate(kept.values())]
+    rows = " UNION ALL ".join(f"""SELECT '{group}' AS "Feature_Group", {len(features)} AS "Features_Count", * FROM ({Q.metrics(f'pred_g{i}')})"""
+                              for i, (group, features) in enumerate(kept.items()))
+    levels = " ".join(f"WHEN abs(r.\"RMSE\" - b.\"RMSE\") > {least} THEN '{meaning}'" for least, meaning in evaluate.IMPACT_LEVELS)
+    return f"""WITH {Q.full_panel()}, {", ".join(parts)}, scored AS ({rows})
+      SELECT r.*, r."RMSE" - b."RMSE" AS "RMSE_Impact", r."MAE" - b."MAE" AS "MAE_Impact",
+        CASE WHEN r."Feature_Group" = b."Feature_Group" THEN 'Baseline' {levels} ELSE '{evaluate.LOWEST_IMPACT}' END AS "Interpretation"
+      FROM scored r, (SELECT * FROM scored WHERE "Feature_Group" = '{ablate.BASELINE}') b"""
+
+
+@query("h5_plain_ablation", """Feature_Group string, Features_Count int, RMSE r6, MAE r6, R2 r6, RMSE_Impact r6,
+MAE_Impact r6, Interpretation string""", _ablated())
+def h5_plain(s, d):
+    return ablate.feature_ablation(few_columns(s, d), "region_txt", "week_start", length=2, regressor=PLAIN)
+
+
+def _data_rows(rows: dict[str, tuple[str, int]], base: str, other: str) -> str:
+    """``rows``: name -> (source relation, window length)."""
+    parts = [_windowed(f"d{i}", FEW, n, source, ablate.TWO_WAY) for i, (source, n) in enumerate(rows.values())]
+    scored = " UNION ALL ".join(f"""SELECT '{name}' AS "Configuration", (SELECT count(*) FROM {source}) AS "Samples",
+      (SELECT count(*) FROM win_d{i}) AS "Sequences", * FROM ({Q.metrics(f'pred_d{i}')})""" for i, (name, (source, _)) in enumerate(rows.items()))
+    return f"""WITH {Q.full_panel()}, latest AS (SELECT max(week_start) AS w FROM full_panel),
+      recent AS (SELECT p.* FROM full_panel p, latest WHERE week_start >= w - INTERVAL 24 MONTH), {", ".join(parts)}, scored AS ({scored})
+      SELECT r.*, r."RMSE" - b."RMSE" AS "RMSE_Impact", CASE WHEN r."Configuration" = '{base}' THEN 'Baseline' {other} END AS "Interpretation"
+      FROM scored r, (SELECT * FROM scored WHERE "Configuration" = '{base}') b"""
+
+
+@query("h7_plain_spans", DATA, _data_rows(
+    {"Full History": ("full_panel", 2), "Recent Only (Last 2 Years)": ("recent", 2)}, "Full History",
+    """WHEN r."RMSE" - b."RMSE" < 0 THEN 'Recent patterns' ELSE 'Long history needed'"""))
+def h7_plain(s, d):
+    return ablate.span_ablation(few_columns(s, d), "region_txt", "week_start", length=2, months=24, regressor=PLAIN)
+
+
+@query("h8_plain_lengths", DATA, _data_rows(
+    {f"Sequence Length {n}": ("full_panel", n) for n in (1, 2, 4)}, "Sequence Length 2", "ELSE ''"))
+def h8_plain(s, d):
+    return ablate.length_ablation(few_columns(s, d), "region_txt", "week_start", lengths=(1, 2, 4), baseline=2, regressor=PLAIN)
+
+
+@query("h9_plain_setting", """Architecture string, Model_Type string, Settings string, RMSE r6, MAE r6, R2 r6,
+Description string""",
+       f"""WITH {Q.full_panel()}, {_windowed('few', FEW, 2)} SELECT 'linear-plain' AS "Architecture", 'linear' AS "Model_Type",
+       '{{''regParam'': 0.0}}' AS "Settings", *, 'penalty 0' AS "Description" FROM ({Q.metrics('pred_few')})""")
+def h9_plain(s, d):
+    return ablate.setting_sweep(few_columns(s, d), "region_txt", "week_start", length=2, settings=[ablate.SETTINGS[3]])

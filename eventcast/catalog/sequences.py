@@ -128,6 +128,15 @@ def e7(s, d):
     )
 
 
+@query("e6_codes_of_nulls", "eventid long, gname string, gname_encoded int, city_encoded int",
+       f"""WITH {Q.RAW} SELECT eventid, gname, dense_rank() OVER (ORDER BY coalesce(gname, 'nan')) - 1 AS gname_encoded,
+       dense_rank() OVER (ORDER BY coalesce(city, 'nan')) - 1 AS city_encoded FROM raw""")
+def e6_nulls(s, d):
+    raw = T.raw_incidents(s, d).select("eventid", "gname", "city")
+    codes = encode.fit_label_codes(raw, ["gname", "city"], null_value="nan")
+    return encode.apply_label_codes(raw, codes, ["gname", "city"], null_value="nan")
+
+
 @query("e8_apply_encoding", "eventid long, " + ", ".join(f"{c}_encoded int" for c in ENCODED),
        f"WITH {Q.INC} SELECT eventid, " + ", ".join(
            f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}_encoded" for c in ENCODED) + " FROM inc")

@@ -51,8 +51,9 @@ GROUP_PARTS = [
     ("AttackType Dummies", ["attacktype_"], None),
     ("Target Type Dummies", ["target_type_", "targettype_"], None),
     ("Weapon Type Dummies", ["weapon_type_", "weapontype_"], None),
-    ("Casualty Features", ["casualt", "killed", "wounded", "nkill", "nwound"], ["lag", "rolling"]),
+    ("Casualty Features", ["casualt", "killed", "wounded", "nkill", "nwound"], ["rolling"]),
 ]
+NOT_SHARED = {"Casualty Features": "Lag Features"}  # plain lags stay out of the first; seasonal ones are in
 
 
 def feature_groups(columns: Sequence[str]) -> dict[str, list[str]]:
@@ -66,6 +67,7 @@ def feature_groups(columns: Sequence[str]) -> dict[str, list[str]]:
                 c for c in columns
                 if any(p in c.lower() for p in parts) and not any(p in c.lower() for p in barred)
             ]
+        members = [c for c in members if c not in groups.get(NOT_SHARED.get(name), [])]
         if members:
             groups[name] = members
     return groups

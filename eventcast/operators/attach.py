@@ -87,29 +87,35 @@ def attach_codes(
     columns: dict[str, str],
     code: str = "code",
     *,
+    null_value: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Look several columns of each row up in one dictionary (column_name, value, ``code``), staged and unique.
 
-    ``columns`` maps a column to the name of its result; values without an entry and nulls get a null. The dictionary
+    ``columns`` maps a column to the name of its result; values without an entry and nulls get a null; with ``null_value`` a null counts as that text. The dictionary
     is measured once. Up to ``broadcast_bytes`` it is sent out once, as one hash table that every column probes, and no
     row moves. Beyond that the columns are melted to (row, column, value), joined once, skew-safe, and pivoted back by
     row: one join and two shuffles whatever the number of columns.
     """
     columns = {c: out for c, out in columns.items() if c in facts.columns}
+
+    def text(c: str) -> Column:
+        value = F.col(f"`{c}`").cast("string")
+        return value if null_value is None else F.coalesce(value, F.lit(null_value))
+
     entry = F.concat(F.col("column_name"), F.lit("="), F.col("value"))
     wanted = dictionary.filter(F.col("column_name").isin(*columns)) if columns else dictionary.limit(0)
     if table_bytes(wanted) <= broadcast_bytes:
         table = F.broadcast(wanted.select(entry.alias("_entry"), F.col(code).alias("_code")))
         for c, out in columns.items():
-            probe = F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("string"))
+            probe = F.concat(F.lit(f"{c}="), text(c))
             facts = facts.withColumn("_probe", probe).join(table, F.col("_probe") == F.col("_entry"), "left")
             facts = facts.drop("_probe", "_entry").withColumnRenamed("_code", out)
         return facts
     # The row numbers must not change between the two readings.
     numbered = stage_table(facts.withColumn("_row", F.monotonically_increasing_id()))
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+        F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns])
     melted = numbered.select("_row", F.inline(cells)).filter(F.col("value").isNotNull())
     found = attach(melted, wanted, ["column_name", "value"], "inner", staged=True, broadcast_bytes=broadcast_bytes)
     pivoted = found.groupBy("_row").agg(*[

@@ -17,11 +17,16 @@ from eventcast.session import stage
 
 # --- label codes ----------------------------------------------------------------------------
 
-def fit_label_codes(df: DataFrame, columns: Sequence[str] = S.TEXT_COLUMNS) -> DataFrame:
-    """(column_name, value, code): sorted distinct values numbered from 0; absent columns skipped."""
+def fit_label_codes(
+    df: DataFrame, columns: Sequence[str] = S.TEXT_COLUMNS, null_value: str | None = None
+) -> DataFrame:
+    """(column_name, value, code): sorted distinct values numbered from 0; absent columns skipped.
+
+    Nulls get no code, or with ``null_value`` the code of that text.
+    """
     present = [c for c in columns if c in df.columns]
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+        F.struct(F.lit(c).alias("column_name"), _text(c, null_value).alias("value"))
         for c in present
     ])
     values = stage(df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct())
@@ -29,9 +34,16 @@ def fit_label_codes(df: DataFrame, columns: Sequence[str] = S.TEXT_COLUMNS) -> D
     return stage(ranked.withColumn("code", F.col("code").cast("int")))
 
 
-def apply_label_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _text(column: str, null_value: str | None) -> Column:
+    text = F.col(column).cast("string")
+    return text if null_value is None else F.coalesce(text, F.lit(null_value))
+
+
+def apply_label_codes(
+    df: DataFrame, codes: DataFrame, columns: Sequence[str], null_value: str | None = None
+) -> DataFrame:
     """Adds ``<column>_encoded``; codes come from ``fit_label_codes`` or a stored table."""
-    return attach_codes(df, codes, {c: f"{c}_encoded" for c in columns})
+    return attach_codes(df, codes, {c: f"{c}_encoded" for c in columns}, null_value=null_value)
 
 
 def decode_labels(df: DataFrame, codes: DataFrame, column: str, code: str, out: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventcast.operators import encode, sequences as E, split
+from eventcast.operators.attach import attach_codes
 
 
 def series(spark, sizes):
@@ -101,3 +102,37 @@ def test_one_hot_vectors_keep_every_level(spark):
     encoded, _ = encode.one_hot_vectors(rows, ["c"])
     found = {r["c"]: r["c_vec"].toArray().tolist() for r in encoded.collect()}
     assert found == {"a": [1, 0, 0], "b": [0, 1, 0], None: [0, 0, 1]}
+
+
+@pytest.mark.parametrize("size", [0, 1 << 26])
+def test_many_columns_in_one_dictionary(spark, size):
+    """Below and beyond the broadcast bound: the same codes for values, nulls, unknown values and a hot value."""
+    rows = spark.createDataFrame(
+        [(i, "hot" if i % 3 else f"v{i % 7}", None if i % 5 == 0 else f"w{i % 11}", "x=y") for i in range(900)],
+        "id long, a string, b string, c string").repartition(6)
+    codes = encode.fit_label_codes(rows.filter("id < 800"), ["a", "b", "c", "absent"])
+    known = {(r["column_name"], r["value"]): r["code"] for r in codes.collect()}
+    assert sorted(v for (c, v) in known if c == "a") == sorted(["hot", *(f"v{i}" for i in range(7))])
+    found = attach_codes(rows.unionByName(spark.createDataFrame([(-1, "new", None, None)], rows.schema)), codes,
+                         {"a": "a_code", "b": "b_code", "c": "c_code", "absent": "z"}, broadcast_bytes=size).collect()
+    assert len(found) == 901
+    for r in found:
+        for c in "abc":
+            assert r[f"{c}_code"] == known.get((c, r[c]))
+
+
+def test_codes_of_nulls(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id long, a string")
+    codes = encode.fit_label_codes(rows, ["a"], null_value="nan")
+    found = {r["id"]: r["a_encoded"] for r in encode.apply_label_codes(rows, codes, ["a"], null_value="nan").collect()}
+    assert found == {1: 0, 2: 1, 3: 2}
+    assert encode.apply_label_codes(rows, codes, ["a"]).filter("id = 2").first()["a_encoded"] is None
+
+
+def test_node_block_positions(spark):
+    rows = spark.createDataFrame([(1, "b", "x", 2.0, True, "p"), (2, "a", None, 4.0, False, "q"), (3, "b", "y", None, None, None)],
+                                 "id long, k string, m string, v double, f boolean, w string")
+    vectors = spark.createDataFrame([("p", [0.5, 0.0])], "word string, vector array<double>")
+    block = encode.node_block(rows, "id", ["k", "m"], ["v"], ["f"], vectors, "w", 2)
+    found = {r["id"]: (r["size"], r["indices"], r["values"]) for r in block.collect()}
+    assert found == {1: (8, [1, 2, 4, 5, 6], [1.0, 1.0, -1.0, 1.0, 0.5]), 2: (8, [0, 4], [1.0, 1.0]), 3: (8, [1, 3], [1.0, 1.0])}
