@@ -30,8 +30,11 @@ def fit_label_codes(
         for c in present
     ])
     values = stage(df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct())
-    ranked = global_rank(values, ["value"], ["column_name"], out="code", fix=stage)
-    return stage(ranked.withColumn("code", F.col("code").cast("int")))
+    placed = global_rank(values, ["column_name", "value"], out="_at", fix=stage)
+    # One row per column.
+    first = F.broadcast(placed.groupBy("column_name").agg(F.min("_at").alias("_first")))
+    code = (F.col("_at") - F.col("_first")).cast("int").alias("code")
+    return stage(placed.join(first, "column_name").select("column_name", "value", code))
 
 
 def _text(column: str, null_value: str | None) -> Column:

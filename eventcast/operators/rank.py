@@ -12,16 +12,23 @@ from eventcast.operators.attach import attach
 from eventcast.session import stage, stage_table
 
 SLOT = "_slot"
+SLOT_BYTES = 64 << 20
 SLOT_ROWS = 500_000
-LEAST_ROWS = 10_000
+UNKNOWN_BYTES = 1 << 50  # what a source without a size claims is beyond this
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number within it below
 
 
 def _slots(df: DataFrame) -> int:
-    """Range partitions by the number of rows: about ``SLOT_ROWS`` each, one per core for smaller tables."""
-    rows = df.count()
-    spread = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // SLOT_ROWS))
-    return max(1, min(spread, -(-rows // LEAST_ROWS)))
+    """Range partitions by the size of the data: of the files behind ``df``, or of its rows where there are none.
+
+    Small tables get one per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= UNKNOWN_BYTES:
+        return max(cores, -(-df.count() // SLOT_ROWS))
+    return max(cores, -(-size // SLOT_BYTES))
 
 
 def _offsets(laid: DataFrame) -> DataFrame:

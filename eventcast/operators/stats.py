@@ -18,6 +18,7 @@ from eventcast.session import stage
 
 CELLS = 4096
 LAST_CELL_ROWS = 1_000_000
+BROADCAST_RANKS = 100_000  # cells of a hundred bytes at most
 
 
 def _magnitude(v: Column) -> Column:
@@ -68,13 +69,14 @@ def percentiles(
     while True:
         single = F.col("_low") == F.col("_high")
         open_ = state.filter(~single)
-        left = open_.agg(F.sum("_n")).first()[0]
+        left, searched = open_.agg(F.sum("_n"), F.count(F.lit(1))).first()
         solved = state.filter(single) if solved is None else solved.unionByName(state.filter(single))
         if not left:
             break
         wanted = open_.groupBy(*keys).agg(F.collect_list(F.struct(
             "_rank_at", "_total", F.col("_low").alias("_from"), F.col("_high").alias("_to"), "_below")).alias("_open"))
-        near = attach(values, wanted, keys, "inner")
+        few = searched <= BROADCAST_RANKS
+        near = values.join(F.broadcast(wanted), keys) if few else attach(values, wanted, keys, "inner")
         inside = F.filter("_open", lambda t: F.col("_value").between(t["_from"], t["_to"]))
         near = near.select(*keys, "_value", F.inline(inside))
         cell = F.col("_value")
