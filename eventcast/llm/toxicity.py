@@ -1,21 +1,24 @@
 """Toxicity of texts by a weighted finite-state grammar over clauses.
 
-Transducers read the words of a clause one after the other and emit weighted events:
-
-* the lexical one turns words and two-word phrases into classes (insult, threat, target, negation, reporting);
-* the negation one cancels an insult or threat that follows a negation within a few words;
-* the reporting one lowers what stands after a verb of saying inside the same clause;
-* the direction one raises an insult or threat next to a target word.
-
-They are composed: each reads the output of the one before. Clauses are scored, not single
-words, and a document's score is one logistic function of its clause weights. The lexical weights
-and that function are fitted on labelled documents.
+Four transducers read the words of a clause one after the other:
+
+* the lexical one turns words, stems and two-word phrases into classes (insult, threat, target, negation, reporting);
+* the negation one cancels an insult or threat that follows a negation within ``SCOPE`` words;
+* the reporting one halves what stands after a verb of saying, up to the end of the clause;
+* the direction one raises an insult with a target within ``SCOPE`` words before or after it, and drops a threat
+  without one. It guesses a target to come and fails if none does, so it is not deterministic.
+
+The last three are tables of states and weighted arcs, composed once into one transducer: its states are
+triples of theirs, and an arc's factor is the product of theirs. A clause weighs as much as the best path
+through it. Clauses are scored, not single words, and a document's score is one logistic function of its clause
+weights. The weights of words and of learned stems, and that function, are fitted on labelled documents.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Hashable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,81 +33,158 @@ from eventcast.session import stage_table
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting",
            "imbecile", "filth", "vermin", "dumb", "bastard", "fool", "creep", "jerk")
 THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab", "burn", "hang", "punish")
-TARGETS = ("you", "your", "you're", "youre", "he", "she", "they", "them", "him", "people", "everyone")
-NEGATIONS = ("not", "no", "never", "isn't", "aren't", "wasn't", "don't", "didn't", "without", "hardly")
-REPORTING = ("said", "says", "called", "wrote", "claimed", "quoted", "reported", "alleged", "accused")
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
-
-SCOPE = 3  # words over which a negation, a target or a verb of saying reaches
+PHRASES = {("shut", "up"): "insult", ("get", "lost"): "insult", ("drop", "dead"): "threat", ("beat", "up"): "threat",
+           ("watch", "out"): "threat"}
+TARGETS = ("you", "your", "you're", "youre", "he", "she", "they", "them", "him", "people", "everyone",
+           "du", "dich", "euch", "ihr", "sie", "tu", "toi", "vous", "ils", "elles", "usted", "ustedes", "ellos")
+NEGATIONS = ("not", "no", "never", "isn't", "aren't", "wasn't", "don't", "didn't", "without", "hardly",
+             "nicht", "kein", "keine", "niemals", "jamais", "aucun", "aucune", "nunca", "jamás")
+REPORTING = ("said", "says", "called", "wrote", "claimed", "quoted", "reported", "alleged", "accused",
+             "sagte", "sagt", "schrieb", "nannte", "dit", "disait", "appelait", "dijo", "dice", "llamó")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(-1, 5)
+LOADED = (INSULT, THREAT)
+SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
+
+SCOPE = 3  # words over which a negation or a target reaches
+STEMS = range(5, 9)  # letters of a learned stem
 WORD = re.compile(r"[^\W\d_]+(?:'[a-z]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 SAMPLE_DOCS = 30_000  # bound of the labelled sample
 
+State = Hashable
+Arc = tuple[State, int, float]  # next state, symbol written, factor of the symbol's weight
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs by (state, symbol read); paths must end in a state of ``finals``."""
+
+    start: State
+    finals: frozenset
+    arcs: dict[tuple[State, int], tuple[Arc, ...]]
+
+
+def negation_machine() -> Transducer:
+    """The state counts the words that the last negation still covers."""
+    arcs = {}
+    for left in range(SCOPE + 1):
+        for symbol in SYMBOLS:
+            onward = SCOPE if symbol == NEGATION else max(left - 1, 0)
+            cancelled = symbol in LOADED and left > 0
+            arcs[left, symbol] = ((onward, OTHER if cancelled else symbol, 0.0 if cancelled else 1.0),)
+    return Transducer(0, frozenset(range(SCOPE + 1)), arcs)
+
+
+def reporting_machine() -> Transducer:
+    """State 1 lies behind a verb of saying."""
+    arcs = {}
+    for behind in (0, 1):
+        for symbol in SYMBOLS:
+            arcs[behind, symbol] = ((int(behind or symbol == REPORT), symbol, 0.5 if behind and symbol in LOADED else 1.0),)
+    return Transducer(0, frozenset((0, 1)), arcs)
+
+
+def direction_machine() -> Transducer:
+    """States (seen, promised): words that the last target still reaches, words within which a promised one must come."""
+    arcs = {}
+    for seen in range(SCOPE + 1):
+        for promised in range(SCOPE + 1):
+            for symbol in SYMBOLS:
+                onward = SCOPE if symbol == TARGET else max(seen - 1, 0)
+                if symbol == TARGET:
+                    kept = 0
+                elif promised == 1:
+                    continue  # the promise is broken
+                else:
+                    kept = max(promised - 1, 0)
+                near = 1.25 if symbol == INSULT else 1.0
+                if symbol not in LOADED:
+                    found = [((onward, kept), symbol, 1.0)]
+                elif seen or kept:
+                    found = [((onward, kept), symbol, near)]
+                else:
+                    found = [((onward, 0), symbol, 1.0 if symbol == INSULT else 0.0), ((onward, SCOPE), symbol, near)]
+                arcs[(seen, promised), symbol] = tuple(found)
+    return Transducer((0, 0), frozenset((seen, 0) for seen in range(SCOPE + 1)), arcs)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer whose paths are those of ``first`` with what they write read by ``second``."""
+    start = (first.start, second.start)
+    arcs, waiting, met = {}, [start], {start}
+    while waiting:
+        state = waiting.pop()
+        for symbol in SYMBOLS:
+            found = tuple(((a, b), out, f * g) for a, middle, f in first.arcs.get((state[0], symbol), ())
+                          for b, out, g in second.arcs.get((state[1], middle), ()))
+            if found:
+                arcs[state, symbol] = found
+                fresh = {arc[0] for arc in found} - met
+                met |= fresh
+                waiting += fresh
+    return Transducer(start, frozenset(s for s in met if s[0] in first.finals and s[1] in second.finals), arcs)
+
+
+def best_path(machine: Transducer, events: list[tuple[int, float]]) -> float:
+    """Largest sum of weights times factors over all accepted paths of (symbol, weight) events; 0 if there is none."""
+    reached = {machine.start: 0.0}
+    for symbol, weight in events:
+        onward: dict[State, float] = {}
+        for state, total in reached.items():
+            for target, _, factor in machine.arcs.get((state, symbol), ()):
+                value = total + weight * factor
+                if value > onward.get(target, -1.0):
+                    onward[target] = value
+        reached = onward
+    return max((v for s, v in reached.items() if s in machine.finals), default=0.0)
+
+
+SCOPES = compose(compose(negation_machine(), reporting_machine()), direction_machine())
+
 
 @dataclass
 class Grammar:
-    """``lexicon``: word -> (class, weight); ``line``: slope terms of the document score."""
+    """``lexicon``: word -> (class, weight); ``stems``: first letters -> weight of an insult; ``line``: slope terms of
+    the document score."""
 
     lexicon: dict[str, tuple[int, float]]
+    stems: dict[str, float] = field(default_factory=dict)
     line: tuple[float, float, float] = (-3.0, 1.5, 1.0)
-    loaded: frozenset[str] = field(init=False)
 
-    def __post_init__(self):
-        self.loaded = frozenset(w for w, (c, _) in self.lexicon.items() if c in (INSULT, THREAT))
+    def read(self, word: str) -> tuple[int, float]:
+        """Class and weight of a word: its own, else those of its longest known stem."""
+        if word in self.lexicon:
+            return self.lexicon[word]
+        for size in reversed(STEMS) if self.stems else ():
+            if word[:size] in self.stems:
+                return INSULT, self.stems[word[:size]]
+        return OTHER, 0.0
 
 
-def lexical(words: list[str], grammar: Grammar) -> list[tuple[int, int, float]]:
-    """First transducer: (position, class, weight) of the words the lexicon knows."""
-    known = grammar.lexicon
-    return [(i, *known[w]) for i, w in enumerate(words) if w in known]
-
-
-def negated(events: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Second: a loaded word within reach after a negation loses its weight."""
-    out, last = [], -SCOPE - 1
-    for at, kind, weight in events:
-        if kind == NEGATION:
-            last = at
-        elif kind in (INSULT, THREAT) and at - last <= SCOPE:
-            weight = 0.0
-        out.append((at, kind, weight))
-    return out
+def lexical(words: list[str], grammar: Grammar) -> list[tuple[int, float]]:
+    """The lexical transducer: (class, weight) of every word; it waits one word for the end of a phrase.
 
-
-def reported(events: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Third: what follows a verb of saying within reach counts half."""
-    out, last = [], -SCOPE - 1
-    for at, kind, weight in events:
-        if kind == REPORT:
-            last = at
-        elif kind in (INSULT, THREAT) and at - last <= SCOPE:
-            weight *= 0.5
-        out.append((at, kind, weight))
-    return out
-
-
-def directed(events: list[tuple[int, int, float]]) -> float:
-    """Last: the clause's weight; a threat needs a target near it, an insult gains by one."""
-    targets = [at for at, kind, _ in events if kind == TARGET]
-    total = 0.0
-    for at, kind, weight in events:
-        near = any(abs(at - t) <= SCOPE for t in targets)
-        if kind == INSULT:
-            total += weight * (1.25 if near else 1.0)
-        elif kind == THREAT and near:
-            total += weight
-    return total
+    Its state is the word before. The first word of a phrase gives nothing, the second the phrase's class.
+    """
+    events, before = [], None
+    for word in words:
+        kind = PHRASES.get((before, word))
+        if kind is not None:
+            events[-1] = (OTHER, 0.0)
+            events.append((INSULT, 2.0) if kind == "insult" else (THREAT, 1.5))
+        else:
+            events.append(grammar.read(word))
+        before = word
+    return events
 
 
 def clause_weights(text: str, grammar: Grammar) -> list[float]:
     """Weights of the clauses that hold a loaded word; ``text`` is in lower case."""
-    if grammar.loaded.isdisjoint(WORD.findall(text)):
-        return []
     out = []
     for clause in CLAUSE_END.split(text):
-        words = WORD.findall(clause)
-        if not grammar.loaded.isdisjoint(words):
-            out.append(directed(reported(negated(lexical(words, grammar)))))
+        events = lexical(WORD.findall(clause), grammar)
+        if any(kind in LOADED for kind, _ in events):
+            out.append(best_path(SCOPES, events))
     return out
 
 
@@ -141,36 +221,50 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOC
     return stage_table(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic"))
 
 
-def train(rows: DataFrame, min_docs: int = 4, min_log_odds: float = 3.0) -> Grammar:
+def train(rows: DataFrame, min_docs: int = 4, min_log_odds: float = 3.0, min_stem_docs: int = 3, min_forms: int = 3) -> Grammar:
     """Grammar fitted on labelled rows (text, toxic 0/1), a bounded sample that is read several times.
 
     Rows with a null text or label are left out. Document frequencies are counted by Spark on three
-    quarters of the texts; a word found in ``min_docs`` toxic ones or more with high log odds joins the
-    insults, and the weight of a listed word follows its odds where it was seen. The last quarter,
+    quarters of the texts; a word found in ``min_docs`` toxic ones or more with high log odds joins the insults,
+    as does a stem found in ``min_stem_docs`` of them in ``min_forms`` words or more, and the weight of a listed word follows
+    its odds where it was seen. The last quarter,
     on which no word was learned, fits the document score.
     """
     rows = rows.filter("text is not null and toxic is not null").select(
-        F.lower("text").alias("text"), "toxic", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).alias("apart"))
+        F.lower("text").alias("text"), "toxic", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).alias("apart"),
+        F.monotonically_increasing_id().alias("row"))
     good = rows.filter("not apart")
     grammar = Grammar(base_lexicon())
     size = {r["toxic"]: r["count"] for r in good.groupBy("toxic").count().collect()}
     bad, fine = size.get(1, 0), size.get(0, 0)
     if not bad or not fine:
         return grammar
-    words = good.select("toxic", F.explode(F.array_distinct(F.split("text", r"[^\p{L}']+"))).alias("word"))
+    def odds_of(texts_with: int, fine_with: int) -> float:
+        return math.log((texts_with + 0.5) / bad) - math.log((fine_with + 0.5) / fine)
+
+    words = good.select("toxic", F.explode(F.array_distinct(F.split("text", r"[^\p{L}']+"))).alias("word"), "row")
     seen = words.filter(F.length("word") > 2).groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
     # The sample bounds the words, too.
     for r in seen.filter(F.col("bad") >= min_docs).collect():
-        odds = math.log((r["bad"] + 0.5) / bad) - math.log((r["fine"] + 0.5) / fine)
+        odds = odds_of(r["bad"], r["fine"])
         kind = grammar.lexicon.get(r["word"], (None, 0.0))[0]
-        if kind in (INSULT, THREAT):
+        if kind in LOADED:
             grammar.lexicon[r["word"]] = (kind, min(max(odds / 2, 0.0), 3.0))
         elif kind is None and odds >= min_log_odds:
             grammar.lexicon[r["word"]] = (INSULT, min(odds / 2, 3.0))
-    grammar = Grammar(grammar.lexicon)
+    cut = F.transform(F.array(*[F.lit(n) for n in STEMS]), lambda n: F.when(F.length("word") >= n, F.substring(F.col("word"), F.lit(1), n)))
+    stems = words.select("row", "toxic", "word", F.explode(F.filter(cut, lambda p: p.isNotNull())).alias("stem"))
+    mark = F.when(F.col("toxic") == 1, F.col("row"))
+    stems = stems.groupBy("stem").agg(
+        F.count_distinct(mark).alias("bad"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("row"))).alias("fine"),
+        F.count_distinct(F.when(F.col("toxic") == 1, F.col("word"))).alias("forms"))
+    for r in stems.filter((F.col("bad") >= min_stem_docs) & (F.col("forms") >= min_forms)).collect():
+        odds = odds_of(r["bad"], r["fine"])
+        if odds >= min_log_odds and r["stem"] not in grammar.lexicon:
+            grammar.stems[r["stem"]] = min(odds / 2, 3.0)
     measured = _measure(rows.filter("apart"), grammar).groupBy("x", "y", "toxic").count().collect()
-    return Grammar(grammar.lexicon, _logistic(measured))
+    return Grammar(grammar.lexicon, grammar.stems, _logistic(measured))
 
 
 def _measure(rows: DataFrame, grammar: Grammar) -> DataFrame:

@@ -185,6 +185,60 @@ def test_clause_grammar():
     assert toxicity.clause_weights("calm here. you idiot! calm", grammar) == [2.5]
 
 
+def cascade(machines, symbols):
+    """All (symbols written, factors) of the accepted paths, each transducer reading what the one before wrote."""
+    found = [(tuple(symbols), (1.0,) * len(symbols))]
+    for machine in machines:
+        onward = []
+        for read, factors in found:
+            paths = [(machine.start, (), ())]
+            for symbol, factor in zip(read, factors):
+                paths = [(target, (*out, written), (*fs, factor * f)) for state, out, fs in paths
+                         for target, written, f in machine.arcs.get((state, symbol), ())]
+            onward += [(out, fs) for state, out, fs in paths if state in machine.finals]
+        found = onward
+    return found
+
+
+def test_composed_transducer_equals_the_cascade_and_the_rules():
+    rng = random.Random(5)
+    machines = [toxicity.negation_machine(), toxicity.reporting_machine(), toxicity.direction_machine()]
+    for _ in range(600):
+        symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(0, 9))]
+        weights = [round(rng.random(), 2) if s in toxicity.LOADED else 0.0 for s in symbols]
+        got = toxicity.best_path(toxicity.SCOPES, list(zip(symbols, weights)))
+        paths = cascade(machines, symbols)
+        assert paths and abs(got - max(sum(w * f for w, f in zip(weights, fs)) for _, fs in paths)) < 1e-9
+        # The same from the rules, position by position.
+        want = 0.0
+        for at, (symbol, weight) in enumerate(zip(symbols, weights)):
+            if symbol in toxicity.LOADED and toxicity.NEGATION not in symbols[max(0, at - toxicity.SCOPE):at]:
+                near = toxicity.TARGET in symbols[max(0, at - toxicity.SCOPE):at + toxicity.SCOPE + 1]
+                factor = (1.25 if near else 1.0) if symbol == toxicity.INSULT else float(near)
+                want += weight * factor * (0.5 if toxicity.REPORT in symbols[:at] else 1.0)
+        assert abs(got - want) < 1e-9, symbols
+
+
+def test_phrases_stems_and_clause_scope():
+    grammar = toxicity.Grammar(toxicity.base_lexicon(), {"zorgi": 1.0, "zorgishl": 3.0})
+    weights = lambda t: toxicity.clause_weights(t, grammar)
+    assert weights("oh shut up") == [2.0] and weights("shut the door, go up") == []
+    assert weights("drop dead, you there") == [1.5] and weights("drop dead weight") == [0.0]
+    assert weights("he said after a very long while you are an idiot") == [1.25]
+    assert weights("he said so. you are an idiot") == [2.5]
+    assert weights("zorgish") == [1.0] and weights("zorgishly") == [3.0] and weights("zorg") == []
+    assert weights("du bist nicht stupid") == [0.0] and weights("sie sind stupid") == [2.5]
+
+
+def test_stems_are_learned(spark):
+    rng = random.Random(8)
+    rows = [(prose(rng, 30) + (f" grumbl{''.join(rng.choice('aeioust') for _ in range(4))} " if i % 5 == 0 else " ") + prose(rng, 30), int(i % 5 == 0))
+            for i in range(400)]
+    grammar = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {"grumb", "grumbl"} <= set(grammar.stems)
+    assert toxicity.score("the river grumblxyz stone", grammar) > 0.5 > toxicity.score("the river under stone", grammar)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(3)
     texts, toxic = [], []
