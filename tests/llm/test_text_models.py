@@ -167,6 +167,16 @@ def test_network_adds_values_outside_the_patterns(trained):
     assert not pii.network_spans(trained, [prose(rng, 400)])[0]
 
 
+def test_windows_without_digit_or_at_sign_add_nothing(trained, monkeypatch):
+    rng = random.Random(2)
+    texts = [prose(rng, 200) + " tel 030 555 0134 77 or jo@mail.example.org, host 10.1.2.3 " + prose(rng, 200, "de") for _ in range(12)]
+    texts += ["", "no anchors here " * 40, "4111 1111 1111 1111 " * 5, "a@b" * 30]
+    skipped = pii.network_spans(trained, texts)
+    monkeypatch.setattr(pii, "ANCHOR", re.compile(".", re.DOTALL))
+    assert pii.network_spans(trained, texts) == skipped
+    assert any(skipped)
+
+
 def test_redaction(spark, trained):
     text = "write to jo.doe@mail.example.com or 10.0.0.1 ok"
     out = pii.redact(table(spark, [text, None, "no data"]), trained).orderBy("doc_id").collect()
