@@ -151,6 +151,14 @@ class Grammar:
     stems: dict[str, float] = field(default_factory=dict)
     line: tuple[float, float, float] = (-3.0, 1.5, 1.0)
 
+    def __post_init__(self):
+        self.loaded = {w for w, (kind, _) in self.lexicon.items() if kind in LOADED} | {w for w, _ in PHRASES}
+        self.heads = {stem[:STEMS[0]] for stem in self.stems}
+
+    def may_weigh(self, words: list[str]) -> bool:
+        """Whether any of the words could be loaded, begin a phrase or have a known stem."""
+        return not (self.loaded.isdisjoint(words) and (not self.heads or self.heads.isdisjoint([w[:STEMS[0]] for w in words])))
+
     def read(self, word: str) -> tuple[int, float]:
         """Class and weight of a word: its own, else those of its longest known stem."""
         if word in self.lexicon:
@@ -182,7 +190,10 @@ def clause_weights(text: str, grammar: Grammar) -> list[float]:
     """Weights of the clauses that hold a loaded word; ``text`` is in lower case."""
     out = []
     for clause in CLAUSE_END.split(text):
-        events = lexical(WORD.findall(clause), grammar)
+        words = WORD.findall(clause)
+        if not grammar.may_weigh(words):
+            continue
+        events = lexical(words, grammar)
         if any(kind in LOADED for kind, _ in events):
             out.append(best_path(SCOPES, events))
     return out
@@ -263,6 +274,7 @@ def train(rows: DataFrame, min_docs: int = 4, min_log_odds: float = 3.0, min_ste
         odds = odds_of(r["bad"], r["fine"])
         if odds >= min_log_odds and r["stem"] not in grammar.lexicon:
             grammar.stems[r["stem"]] = min(odds / 2, 3.0)
+    grammar = Grammar(grammar.lexicon, grammar.stems)
     measured = _measure(rows.filter("apart"), grammar).groupBy("x", "y", "toxic").count().collect()
     return Grammar(grammar.lexicon, grammar.stems, _logistic(measured))
 
