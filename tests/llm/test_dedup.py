@@ -49,6 +49,21 @@ def test_repeats_equal_brute_force(spark, monkeypatch, split, shard, merge):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
 
 
+def test_shard_classes_equal_brute_force():
+    # Long common passages that go on differently, so that neighbours in suffix order change from one place to the next.
+    rng = random.Random(4)
+    for letters in ("ab", "abcd "):
+        for _ in range(6):
+            text = lambda n: "".join(rng.choice(letters) for _ in range(n)).encode()  # noqa: B023, E731
+            common = [text(rng.randint(100, 400)) for _ in range(4)]
+            contents = [b"".join(rng.choice(common)[: rng.randint(1, 400)] + text(rng.randint(1, 9)) for _ in range(4)) + text(60)
+                        for _ in range(12)]
+            windows = np.array([len(c) - 59 for c in contents])
+            times = Counter(c[i:i + 60] for c, n in zip(contents, windows) for i in range(n))
+            for segment, at, _, size in zip(*suffix_dedup.shard_repeats(contents, windows, 60)):
+                assert size == times[contents[segment][at:at + 60]]
+
+
 def test_suffix_order_and_prefixes():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 99, 600).astype(np.uint8)
