@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventcast.operators.attach import attach
-from eventcast.session import stage_table
+from eventcast.operators.rank import global_rank
+from eventcast.session import spread, stage_table
 
 ROUNDS = 2
-BLOCK = 25  # components summed by one aggregate
-
-
-def start_value(word: Column, component: Column) -> Column:
-    """Number in [-1, 1) fixed by a word and a component: the first 32 bits of the digest of ``word:component``."""
-    digest = F.md5(F.concat(word, F.lit(":"), component.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**31 - 1.0
+TILE_WORDS = 1 << 16  # words of a tile of the weights either way
+TILE_WEIGHTS = 2_000_000  # weights of a tile
+SUM_WORDS = 1 << 14  # words whose vectors one task adds up
+SUM_ROWS = 1 << 14  # rows added up at a time
 
 
 def cooccurrences(tokens: DataFrame, column: str, window: int = 5) -> DataFrame:
-    """(word, other, n): how often two words stand at most ``window`` places apart, both ways, and each word with itself.
+    """(word, other, n): how often two words stand at most ``window`` places apart, in either order, and each word with itself.
+
+    A pair of different words is there once, the lesser word first.
 
     Counts are combined where the texts are read, so frequent words cost no more than others.
     """
@@ -30,32 +36,100 @@ def cooccurrences(tokens: DataFrame, column: str, window: int = 5) -> DataFrame:
         ahead = F.greatest(size - k, F.lit(0))
         both = F.arrays_zip(F.slice(here, F.lit(1), ahead).alias("word"), F.slice(here, F.lit(k + 1), ahead).alias("other"))
         apart.append(F.transform(both, lambda p: F.struct(p["word"].alias("word"), p["other"].alias("other"))))
+    # A pair is met in the order of the text; the other order is the same pair, so both are counted as one.
+    word, other = F.col("p.word"), F.col("p.other")
     pairs = tokens.filter(size > 0).select(F.explode(F.concat(*apart)).alias("p"), F.lit(1).alias("one"))
-    counted = pairs.groupBy("p").agg(F.count("one").alias("n")).select("p.word", "p.other", "n")
-    # A pair is met in the order of the text; the other order is the same pair.
-    turned = counted.filter("word <> other").select(F.col("other").alias("word"), F.col("word").alias("other"), "n")
-    return counted.unionByName(turned).groupBy("word", "other").agg(F.sum("n").alias("n"))
+    pairs = pairs.select(F.when(word > other, other).otherwise(word).alias("word"), F.when(word > other, word).otherwise(other).alias("other"), "one")
+    return pairs.groupBy("word", "other").agg(F.count("one").alias("n"))
+
+
+def both_ways(pairs: DataFrame, value: str) -> DataFrame:
+    """Pairs (word, other, ``value``) in both orders; a word with itself stays once."""
+    here = F.struct("word", "other", value)
+    there = F.struct(F.col("other").alias("word"), F.col("word").alias("other"), value)
+    return pairs.select(F.inline(F.when(F.col("word") != F.col("other"), F.array(here, there)).otherwise(F.array(here))))
 
 
-def word_weights(tokens: DataFrame, column: str, window: int = 5, min_count: int = 1) -> DataFrame:
-    """(word, other, weight): positive pointwise mutual information, in shares per word; words without any keep themselves."""
+def word_weights(tokens: DataFrame, column: str, window: int = 5, min_count: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(word, id) numbered from 0, and (word, other, weight) by these ids, both staged.
+
+    The weight is the positive pointwise mutual information, in shares per word; words without any keep themselves.
+    """
     if min_count > 1:
         words = tokens.select(F.explode(column).alias("w")).groupBy("w").count().filter(F.col("count") >= min_count)
         numbered = tokens.select(F.monotonically_increasing_id().alias("_text"), column)
         numbered = stage_table(numbered)
         placed = attach(numbered.select("_text", F.posexplode(column).alias("at", "w")), words.select("w"), "w", "left_semi")
         tokens = placed.groupBy("_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias(column))
-    counts = stage_table(cooccurrences(tokens, column, window))
-    sums = counts.groupBy("word").agg(F.sum("n").alias("total"))
-    total = counts.agg(F.sum("n")).scalar()
-    met = attach(counts, sums, "word")
-    met = attach(met, sums.select(F.col("word").alias("other"), F.col("total").alias("other_total")), "other")
-    part = F.greatest(F.lit(0.0), F.log(F.col("n").cast("double") * total / (F.col("total").cast("double") * F.col("other_total"))))
-    met = stage_table(met.select("word", "other", part.alias("weight")))
+    pairs = stage_table(cooccurrences(tokens, column, window))
+    sums = stage_table(both_ways(pairs, "n").groupBy("word").agg(F.sum("n").alias("total")))
+    total = sums.agg(F.sum("total")).first()[0]
+    words = stage_table(global_rank(sums.filter("word IS NOT NULL"), ["word"], out="id"))
+    for end in ("word", "other"):
+        found = words.select(F.col("word").alias(end), F.col("id").alias(f"{end}_id"), F.col("total").alias(f"{end}_total"))
+        pairs = attach(pairs, found, end, "inner", staged=True).drop(end)
+    part = F.greatest(F.lit(0.0), F.log(F.col("n").cast("double") * F.lit(total) / (F.col("word_total").cast("double") * F.col("other_total"))))
+    met = pairs.select(F.col("word_id").alias("word"), F.col("other_id").alias("other"), part.alias("weight"))
+    met = stage_table(both_ways(met, "weight"))
     whole = met.groupBy("word").agg(F.sum("weight").alias("_whole"))
     shared = attach(met, whole, "word")
     share = F.when(F.col("_whole") > 0, F.col("weight") / F.col("_whole")).otherwise((F.col("word") == F.col("other")).cast("double"))
-    return stage_table(shared.select("word", "other", share.alias("weight")).filter("weight > 0"))
+    return words.select("word", "id"), stage_table(shared.select("word", "other", share.alias("weight")).filter("weight > 0"))
+
+
+def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
+
+
+def _binary(matrix: np.ndarray) -> pa.Array:
+    """One binary value per row."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(matrix.shape[1] * 8)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
+def _grouped(owner: np.ndarray, rows: int, part, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and the sum of their rows; ``part(order)`` gives the rows at these places."""
+    order = np.argsort(owner, kind="stable")
+    ids, number = np.unique(owner[order], return_inverse=True)
+    out = np.zeros((len(ids), size))
+    for low in range(0, rows, SUM_ROWS):
+        some, mine = order[low:low + SUM_ROWS], number[low:low + SUM_ROWS]
+        heads = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+        out[mine[0]:mine[-1] + 1] += np.add.reduceat(part(some), heads, axis=0)
+    return ids, out
+
+
+def _start_vectors(words: DataFrame, size: int) -> DataFrame:
+    """(id, v): the start vector of every word as bytes."""
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails = [str(k).encode() for k in range(size)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            digests = []
+            for word in batch.column("word").to_pylist():
+                base = hashlib.md5(word.encode() + b":")
+                for tail in tails:
+                    own = base.copy()
+                    own.update(tail)
+                    digests.append(own.digest()[:4])
+            values = np.frombuffer(b"".join(digests), ">u4").astype(np.float64) / 2.0**31 - 1.0
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _binary(values.reshape(-1, size))], names=["id", "v"])
+
+    return stage_table(spread(words).mapInArrow(start, "id long, v binary"))
+
+
+def _summed(parts: DataFrame, count: int, size: int, scale: float = 1.0) -> DataFrame:
+    """(id, v): the vectors of each id added up and divided by ``scale``; ``count`` is the number of ids."""
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = _matrix(group["v"], size)
+        ids, sums = _grouped(group["id"].to_numpy(), len(rows), lambda at: rows[at], size)
+        return pa.table([pa.array(ids), _binary(sums / scale)], names=["id", "v"])
+
+    buckets = max(1, -(-count // SUM_WORDS))
+    return parts.groupBy(F.pmod("id", F.lit(buckets)).alias("bucket")).applyInArrow(add, "id long, v binary")
 
 
 def fit_word_vectors(
@@ -63,32 +137,45 @@ def fit_word_vectors(
 ) -> DataFrame:
     """(word, vector): ``rounds`` power iterations of the co-occurrence weights from hashed start vectors, averaged.
 
-    The weight matrix stays sparse and distributed, as do the words and their vectors: a round is one join of the
-    weights with the vectors and one weighted sum per word and block of components. Texts are read whole, however long. The result
-    depends on the texts alone, not on their order or partitions, but for rounding.
+    The weight matrix stays sparse and distributed, as do the words and their vectors. It is laid out in tiles of at most
+    ``TILE_WORDS`` words either way and about ``TILE_WEIGHTS`` weights. A round sends every vector to the tiles that have
+    its word, multiplies each tile in one step and adds up the tiles' sums per word, so no weight carries a vector
+    through a shuffle. Texts are read whole, however long. The result depends on the texts alone, not on their order or partitions, but for rounding.
     """
-    weights = word_weights(tokens, column, window, min_count)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((size - 1) // BLOCK))).alias("block")
-    components = [start_value(F.col("word"), F.col("block") * BLOCK + k) for k in range(min(size, BLOCK))]
-    current = stage_table(weights.select("word").distinct().select("word", blocks).select(
-        "word", "block", F.array(*components).alias("v")))
-    total = None
+    words, weights = word_weights(tokens, column, window, min_count)
+    count, held = words.count(), weights.count()
+    across = max(1, -(-count // TILE_WORDS))
+    down = max(across, -(-held // (across * TILE_WEIGHTS)))
+    tile = [F.pmod("word", F.lit(down)).cast("int").alias("i"), F.pmod("other", F.lit(across)).cast("int").alias("j")]
+    tiles = weights.select(*tile, "word", "other", "weight")
+    wanted = stage_table(weights.groupBy(F.col("other").alias("id")).agg(F.collect_set(tile[0]).alias("_tiles")))
+
+    def multiply(weights: pa.Table, vectors: pa.Table) -> pa.Table:
+        word, other, weight = (weights[c].to_numpy() for c in ("word", "other", "weight"))
+        ids, rows = vectors["id"].to_numpy(), _matrix(vectors["v"], size)
+        by = np.argsort(ids)
+        at = by[np.searchsorted(ids[by], other)] if len(other) else other
+        found, sums = _grouped(word, len(word), lambda k: weight[k, None] * rows[at[k]], size)
+        return pa.table([pa.array(found), _binary(sums)], names=["id", "v"])
+
+    current = _start_vectors(words, size)
+    met = [] if rounds else [current]
     for _ in range(rounds):
-        sent = current.select(F.col("word").alias("other"), "block", "v")
-        sums = [F.sum(F.col("weight") * F.col("v")[k]) for k in range(min(size, BLOCK))]
-        met = _meet(weights, sent).groupBy("word", "block").agg(*[c.alias(f"_{k}") for k, c in enumerate(sums)])
-        current = stage_table(met.select("word", "block", F.array(*[f"_{k}" for k in range(len(sums))]).alias("v")))
-        total = current if total is None else total.join(current.withColumnRenamed("v", "_more"), ["word", "block"]).select(
-            "word", "block", F.zip_with("v", "_more", lambda a, b: a + b).alias("v"))
-    found = (current if total is None else total).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("block", "v"))).alias("_blocks"))
-    whole = F.slice(F.flatten(F.transform("_blocks", lambda x: x["v"])), 1, size)
-    return stage_table(found.select("word", F.transform(whole, lambda x: x / max(1, rounds)).alias("vector")))
-
-
-def _meet(weights: DataFrame, sent: DataFrame) -> DataFrame:
-    """Every weight with the blocks of its other word's vector; a word's blocks travel as one row."""
-    rows = sent.groupBy("other").agg(F.collect_list(F.struct("block", "v")).alias("_blocks"))
-    return attach(weights, rows, "other", "inner").select("word", "weight", F.inline("_blocks"))
+        sent = current.join(wanted, "id").select(
+            F.explode("_tiles").alias("i"), F.pmod("id", F.lit(across)).cast("int").alias("j"), "id", "v")
+        sums = tiles.groupBy("i", "j").cogroup(sent.groupBy("i", "j")).applyInArrow(multiply, "id long, v binary")
+        current = stage_table(_summed(sums, count, size) if across > 1 else sums)
+        met.append(current)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64)
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["word", "vector"])
+
+    mean = _summed(reduce(DataFrame.unionByName, met), count, size, max(1, rounds))
+    return stage_table(mean.join(words, "id").select("word", "v").mapInArrow(whole, "word string, vector array<double>"))
 
 
 def attach_vectors(df: DataFrame, vectors: DataFrame, key: str, size: int, out: str = "vector") -> DataFrame:

@@ -113,6 +113,18 @@ def test_word_vectors_equal_numpy(spark, least):
     assert all(np.allclose(found[w], want[w], atol=1e-9) for w in want)
 
 
+def test_word_vectors_in_many_tiles(spark, monkeypatch):
+    """No tile, sum or batch needs all words at once: small ones give the same vectors."""
+    for name, value in (("TILE_WORDS", 5), ("TILE_WEIGHTS", 11), ("SUM_WORDS", 4), ("SUM_ROWS", 3)):
+        monkeypatch.setattr(embed, name, value)
+    texts = [["a", "b", "c"], ["b", "a"], ["d"], ["é", "f", "a", "f"], ["g", "h", "i", "j", "k", "l"], ["l", "a"]]
+    rows = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    found = {r["word"]: r["vector"] for r in embed.fit_word_vectors(rows, "tokens", size=6, window=3).collect()}
+    want = plain_vectors(texts, 6, 3, 1, embed.ROUNDS)
+    assert set(found) == set(want)
+    assert all(np.allclose(found[w], want[w], atol=1e-9) for w in want)
+
+
 def test_classifier_learns_a_separable_label(spark):
     from eventcast.operators.encode import assemble
 
