@@ -20,7 +20,9 @@ def _content_bytes(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
         size = 16 + F.octet_length(value)
     elif isinstance(kind, T.ArrayType):
-        size = 16 + F.aggregate(value, none, lambda total, v: total + _content_bytes(v, kind.elementType))
+        nested = isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+        size = 16 + (F.aggregate(value, none, lambda total, v: total + _content_bytes(v, kind.elementType))
+                     if nested else F.size(value) * 16)
     elif isinstance(kind, T.MapType):
         entries = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
         size = _content_bytes(F.map_entries(value), entries)
@@ -33,12 +35,21 @@ def _content_bytes(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(size.cast("long"), F.lit(16).cast("long"))
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Measured size of a staged table, by the content of its values."""
+def _row_bytes(df: DataFrame) -> Column:
     row = F.lit(16).cast("long")
     for field in df.schema.fields:
         row = row + _content_bytes(F.col(f"`{field.name}`"), field.dataType)
-    return int(df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0])
+    return row
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Measured size of a staged table, by the content of its values."""
+    return int(df.agg(F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()[0])
+
+
+def _bytes_by(df: DataFrame, column: str) -> dict[str, int]:
+    """``table_bytes`` per value of a column of few values."""
+    return {r[0]: int(r[1]) for r in df.groupBy(column).agg(F.sum(_row_bytes(df))).collect()}
 
 
 def attach(
@@ -93,9 +104,9 @@ def attach_codes(
     """Look several columns of each row up in one dictionary (column_name, value, ``code``), staged and unique.
 
     ``columns`` maps a column to the name of its result; values without an entry and nulls get a null; with ``null_value`` a null counts as that text. The dictionary
-    is measured once. Up to ``broadcast_bytes`` it is sent out once, as one hash table that every column probes, and no
-    row moves. Beyond that the columns are melted to (row, column, value), joined once, skew-safe, and pivoted back by
-    row: one join and two shuffles whatever the number of columns.
+    is measured once. The columns of few values, as many as fit ``broadcast_bytes`` together, are sent out once, as one hash
+    table that each of them probes, and no row moves. One column beyond that is joined as it is, skew-safe; several are
+    melted to (row, column, value), joined once and pivoted back by row: one join and two shuffles whatever their number.
     """
     columns = {c: out for c, out in columns.items() if c in facts.columns}
 
@@ -105,22 +116,36 @@ def attach_codes(
 
     entry = F.concat(F.col("column_name"), F.lit("="), F.col("value"))
     wanted = dictionary.filter(F.col("column_name").isin(*columns)) if columns else dictionary.limit(0)
-    if table_bytes(wanted) <= broadcast_bytes:
-        table = F.broadcast(wanted.select(entry.alias("_entry"), F.col(code).alias("_code")))
-        for c, out in columns.items():
-            probe = F.concat(F.lit(f"{c}="), text(c))
-            facts = facts.withColumn("_probe", probe).join(table, F.col("_probe") == F.col("_entry"), "left")
-            facts = facts.drop("_probe", "_entry").withColumnRenamed("_code", out)
-        return facts
-    # The row numbers must not change between the two readings.
-    numbered = stage_table(facts.withColumn("_row", F.monotonically_increasing_id()))
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in columns])
-    melted = numbered.select("_row", F.inline(cells)).filter(F.col("value").isNotNull())
-    found = attach(melted, wanted, ["column_name", "value"], "inner", staged=True, broadcast_bytes=broadcast_bytes)
-    pivoted = found.groupBy("_row").agg(*[
-        F.max(F.when(F.col("column_name") == c, F.col(code))).alias(out) for c, out in columns.items()])
-    return numbered.join(pivoted, "_row", "left").drop("_row")
+    sizes = _bytes_by(wanted, "column_name")
+    small, room = [], broadcast_bytes
+    for c in sorted(columns, key=lambda c: sizes.get(c, 0)):
+        room -= sizes.get(c, 0)
+        if room < 0:
+            break
+        small.append(c)
+    large = {c: out for c, out in columns.items() if c not in small}
+    before = facts.columns
+    table = F.broadcast(wanted.filter(F.col("column_name").isin(*small)).select(entry.alias("_entry"), F.col(code).alias("_code")))
+    for c in [c for c in columns if c in small]:
+        probe = F.concat(F.lit(f"{c}="), text(c))
+        facts = facts.withColumn("_probe", probe).join(table, F.col("_probe") == F.col("_entry"), "left")
+        facts = facts.drop("_probe", "_entry").withColumnRenamed("_code", columns[c])
+    if len(large) == 1:
+        (c, out), = large.items()
+        lookup = wanted.filter(F.col("column_name") == c).select(F.col("value").alias("_probe"), F.col(code).alias(out))
+        facts = attach(facts.withColumn("_probe", text(c)), lookup, "_probe", staged=True, broadcast_bytes=broadcast_bytes).drop("_probe")
+    elif large:
+        # The row numbers must not change between the two readings.
+        numbered = stage_table(facts.withColumn("_row", F.monotonically_increasing_id()))
+        cells = F.array(*[
+            F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in large])
+        melted = numbered.select("_row", F.inline(cells)).filter(F.col("value").isNotNull())
+        wide = wanted.filter(F.col("column_name").isin(*large))
+        found = attach(melted, wide, ["column_name", "value"], "inner", staged=True, broadcast_bytes=broadcast_bytes)
+        pivoted = found.groupBy("_row").agg(*[
+            F.max(F.when(F.col("column_name") == c, F.col(code))).alias(out) for c, out in large.items()])
+        facts = numbered.join(pivoted, "_row", "left").drop("_row")
+    return facts.select(*[F.col(f"`{c}`") for c in before], *columns.values())
 
 
 BITMAP_BITS = 32768  # bits of one bitmap of the aggregate

@@ -121,6 +121,19 @@ def test_many_columns_in_one_dictionary(spark, size):
             assert r[f"{c}_code"] == known.get((c, r[c]))
 
 
+def test_only_the_wide_column_moves_rows(spark):
+    """Columns of few values are probed where the rows lie though the dictionary as a whole is beyond the bound."""
+    rows = spark.createDataFrame([(i, f"word {i % 300}" if i % 9 else None, f"k{i % 3}", "x") for i in range(900)],
+                                 "id long, city string, kind string, flag string").repartition(4)
+    codes = encode.fit_label_codes(rows, ["city", "kind", "flag"])
+    found = attach_codes(rows, codes, {"city": "a", "kind": "b", "flag": "c"}, broadcast_bytes=1000)
+    known = {(r["column_name"], r["value"]): r["code"] for r in codes.collect()}
+    assert found.columns == ["id", "city", "kind", "flag", "a", "b", "c"]
+    for r in found.collect():
+        assert (r["a"], r["b"], r["c"]) == tuple(known.get((c, r[c])) for c in ("city", "kind", "flag"))
+    assert "max(CASE" not in found._jdf.queryExecution().optimizedPlan().toString()  # no cells pivoted back
+
+
 def test_codes_of_nulls(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id long, a string")
     codes = encode.fit_label_codes(rows, ["a"], null_value="nan")
