@@ -9,6 +9,7 @@ from eventcast.catalog.registry import query
 from eventcast.functions import text as X
 from eventcast.operators import embed
 from eventcast.plans import features
+from eventcast.session import spread, stage_table
 from eventcast.sources import tables as T
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -136,7 +137,7 @@ def t7(s, d):
 def j6(s, d):
     # One token per event, as a place name; every vector is looked up by the place, and so are
     # places that no event has.
-    events = T.incidents(s, d, casualties=False).select("eventid", "city")
+    events = spread(stage_table(T.incidents(s, d, casualties=False).select("eventid", "city")))
     vectors = embed.fit_word_vectors(events.select(F.array("city").alias("tokens")), "tokens", size=VECTOR_SIZE)
     absent = events.select((-F.col("eventid")).alias("eventid"), F.concat(F.lit("no "), "city").alias("city"))
     found = embed.attach_vectors(events.unionByName(absent), vectors, "city", VECTOR_SIZE)
