@@ -12,7 +12,7 @@ from eventcast.catalog.texts import VECTOR_SIZE
 from eventcast.operators import embed, encode, panel, split
 from eventcast.operators import sequences as E
 from eventcast.plans import features
-from eventcast.session import stage
+from eventcast.session import stage, stage_table
 from eventcast.sources import tables as T
 
 MEASURES = list(S.PANEL_MEASURES)
@@ -378,7 +378,7 @@ def _node_block_sql() -> str:
 def e22_block(s, d):
     events = features.temporal(T.featured_incidents(s, d)).withColumns({
         "claimed": F.col("eventid") % 2 == 0, "suicide": F.col("eventid") % 7 == 0, "success": F.col("nkill") > 0})
-    events = stage(events.select("eventid", "city", *NODE_CLASSES, *NODE_NUMBERS, *NODE_FLAGS))
+    events = stage_table(events.select("eventid", "city", *NODE_CLASSES, *NODE_NUMBERS, *NODE_FLAGS))
     vectors = embed.fit_word_vectors(events.select(F.array("city").alias("tokens")), "tokens", VECTOR_SIZE)
     block = encode.node_block(events, "eventid", NODE_CLASSES, NODE_NUMBERS, list(NODE_FLAGS), vectors, "city", VECTOR_SIZE)
     cells = F.zip_with("indices", "values", lambda i, v: F.concat(
