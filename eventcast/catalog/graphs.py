@@ -156,8 +156,8 @@ def n10(s, d):
     wanted = ["eventid", "date_node", "location_node", "attacktype1_txt", "city", *classes,
               "nkill", "nwound", "latitude", "longitude"]
     # Read by every step below, so the joins behind it run once.
-    events = stage(graph.with_node_ids(T.featured_incidents(s, d)).select(*wanted))
-    events = split.random_split(events, "eventid")
+    events = stage_table(graph.with_node_ids(T.featured_incidents(s, d)).select(*wanted))
+    events = stage_table(split.random_split(events, "eventid"))
     edges = events.select(F.col("date_node").alias("src"), F.col("location_node").alias("dst")).distinct()
     at = events.select("nkill", "nwound", F.explode(F.array("date_node", "location_node")).alias("id"))
     means = at.groupBy("id").agg(F.avg("nkill").alias("killed"), F.avg("nwound").alias("wounded"))
@@ -167,13 +167,16 @@ def n10(s, d):
     )
     codes = encode.fit_label_codes(events, ["attacktype1_txt", *classes])
     rows = attach(encode.apply_label_codes(events, codes, ["attacktype1_txt", *classes]), places, "location_node")
+    # Narrow rows, without the ids and texts of the joins; the scaler, the encoder and the fit read them again.
+    rows = stage_table(rows.drop("date_node", "location_node", "attacktype1_txt", *classes))
     numeric = ["nkill", "nwound", "latitude", "longitude", "near_killed", "near_wounded"]
-    seen = encode.fit_scaler(rows.filter(F.col("split") == "train"), numeric)
+    seen = stage(encode.fit_scaler(rows.filter(F.col("split") == "train"), numeric))
     rows = encode.apply_scaler(rows, seen, numeric, "standard")
     cities = embed.fit_word_vectors(events.select(F.array("city").alias("tokens")), "tokens", VECTOR_SIZE)
-    rows = embed.attach_vectors(rows, cities, "city", VECTOR_SIZE, "_city").withColumn("city_vector", array_to_vector("_city"))
     hot = OneHotEncoder(inputCols=[f"{c}_encoded" for c in classes], outputCols=[f"{c}_hot" for c in classes], dropLast=False)
-    rows = hot.fit(rows).transform(rows)
+    encoder = hot.fit(rows)
+    rows = embed.attach_vectors(rows, cities, "city", VECTOR_SIZE, "_city").withColumn("city_vector", array_to_vector("_city"))
+    rows = encoder.transform(rows)
     vectors = VectorAssembler(inputCols=[*numeric, *hot.getOutputCols(), "city_vector"], outputCol="features").transform(rows)
     found = regress.classify(
         vectors.select("eventid", "split", "features", "attacktype1_txt_encoded"), "features", "attacktype1_txt_encoded"
