@@ -13,6 +13,7 @@ variant's owners are joined in a star, not in pairs, and one bucket returns a sp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -96,6 +97,8 @@ class BallCode:
         flips = [c for k in range(reach + 1) for c in combinations(range(64), k)]
         self.flips = np.array([sum(1 << b for b in c) for c in flips], np.uint64)
         self.codes = np.array([np.bitwise_xor.reduce(label[list(c)]) if c else 0 for c in flips])
+        self.by_code = np.argsort(self.codes, kind="stable")
+        self.sorted_codes = self.codes[self.by_code]
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         parts = keys.view(np.uint8).reshape(-1, 8)
@@ -105,6 +108,12 @@ class BallCode:
         return out
 
 
+@lru_cache(maxsize=8)
+def ball_code(width: int, reach: int) -> BallCode:
+    """The code, made once per process: a task meets many buckets, and making it takes longer than a small bucket."""
+    return BallCode(width, reach)
+
+
 def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least reachable index of each of ``size`` indices over links a-b."""
     label = np.arange(size)
@@ -139,22 +148,20 @@ def bucket_links(keys: np.ndarray, bucket: int, bits: int, radius: int) -> tuple
     extra = 0
     while (len(keys) * ball_size(reach) >> (bits + extra)) > PASS_VARIANTS:
         extra += 1  # the variants of the bucket are made in several passes, one per value of these further code bits
-    code = BallCode(bits + extra, reach)
+    code = ball_code(bits + extra, reach)
     words = code.of(keys)
     order = np.argsort(words, kind="stable")
     levels, first = np.unique(words[order], return_index=True)
     members = np.split(order, first[1:])
-    by_code = np.argsort(code.codes, kind="stable")
-    sorted_codes = code.codes[by_code]
     a, b = [], []
     for sub in range(1 << extra):
         target = bucket << extra | sub
         variants, owners = [], []
         for level, own in zip(levels.tolist(), members):
             wanted = level ^ target
-            lo, hi = np.searchsorted(sorted_codes, (wanted, wanted + 1))
+            lo, hi = np.searchsorted(code.sorted_codes, (wanted, wanted + 1))
             if lo < hi:
-                flips = code.flips[by_code[lo:hi]]
+                flips = code.flips[code.by_code[lo:hi]]
                 variants.append((keys[own][:, None] ^ flips).ravel())
                 owners.append(np.repeat(own, hi - lo))
         if not variants:
@@ -195,7 +202,7 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         bits += 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = BallCode(bits, reach)
+        code = ball_code(bits, reach)
         reached = np.unique(code.codes)
         step = max(1, 4_000_000 // len(reached))
         for batch in batches:
