@@ -49,6 +49,25 @@ def test_repeats_equal_brute_force(spark, monkeypatch, split, shard, merge):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
 
 
+def test_passages_of_many_words_stay_below_the_length_of_a_string(spark):
+    # Repeats of 399, 400 and 401 bytes, all of over 50 words: the contract removes the last two and leaves the first.
+    rng = random.Random(21)
+    words = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    texts, lost = [], []
+    for size in (399, 400, 401):
+        passage = words[:size - 1] + chr(ord("p") + size - 399)
+        assert len(passage.split()) > 50
+        words = words[::-1]
+        for _ in range(2):
+            texts.append(prose(rng, 70) + str(len(texts)) + passage + str(len(texts)) + prose(rng, 30))
+            lost.append(size if size >= 400 else 0)
+    found = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(table(spark, texts)).collect()}
+    for i, want in enumerate(plain_repeats(texts, 400)):
+        r = found[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, i
+        assert (r["n_bytes"], r["n_removed"], len(r["text"])) == (len(texts[i]), lost[i], len(texts[i]) - lost[i])
+
+
 def test_shard_classes_equal_brute_force():
     # Long common passages that go on differently, so that neighbours in suffix order change from one place to the next.
     rng = random.Random(4)
