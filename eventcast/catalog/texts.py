@@ -126,7 +126,7 @@ SHOWN = [0, 1, VECTOR_SIZE - 1]
        f"WITH {_vectors(TOKENS, SHOWN)} SELECT word, {VECTOR_SIZE} AS size, {', '.join(f'v{k}' for k in SHOWN)} FROM vectors")
 def t7(s, d):
     tokens = _docs(s, d).select(X.words(X.clean_text(F.col("text"))).alias("tokens"))
-    found = embed.fit_word_vectors(tokens, "tokens", size=VECTOR_SIZE, window=5)
+    found = embed.fit_word_vectors(tokens, "tokens", size=VECTOR_SIZE, window=5, staged=False)
     return found.select("word", F.size("vector").alias("size"), *[F.col("vector")[k].alias(f"v{k}") for k in SHOWN])
 
 

@@ -125,6 +125,38 @@ def test_word_vectors_in_many_tiles(spark, monkeypatch):
     assert all(np.allclose(found[w], want[w], atol=1e-9) for w in want)
 
 
+def test_word_vectors_keep_only_their_result_on_disk(spark):
+    """Counts, weights and the vectors of single rounds are gone afterwards, and so are the shuffles."""
+    from pathlib import Path
+
+    from eventcast import session
+
+    rng = np.random.default_rng(3)
+    texts = [[f"w{x}" for x in rng.integers(0, 2000, 40)] for _ in range(150)]
+    words = len({w for t in texts for w in t})
+    rows = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    scratch = Path(session.new_path(spark, "x").removeprefix("file://")).parent
+    held = lambda: sum(f.stat().st_size for f in scratch.rglob("*") if f.is_file())
+    before = held()
+    found = embed.fit_word_vectors(rows, "tokens", size=64, window=3)
+    assert held() - before < 1.2 * words * 64 * 8
+    assert found.count() == words and found.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == spark.conf.get(
+        "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_word_vectors_read_once_are_the_same(spark, monkeypatch):
+    """Unstaged vectors, by parts of their components and over any number of rounds, are those of the plain version."""
+    for name, value in (("TILE_WORDS", 5), ("START_BYTES", 1), ("START_SIZE", 3), ("LONG_ROW", 2), ("SUM_WORDS", 2), ("HASHES", 3)):
+        monkeypatch.setattr(embed, name, value)
+    texts = [["a", "b", "c", "a"], ["b", "a"], ["d"], ["é" * 50, "f", "a", "f"], ["g", "h", "i", "j", "k", "l"], ["l", "a"]]
+    rows = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    for rounds in (0, 1, 3):
+        found = {r["word"]: r["vector"] for r in embed.fit_word_vectors(rows, "tokens", size=7, window=3, rounds=rounds, staged=False).collect()}
+        want = plain_vectors(texts, 7, 3, 1, rounds) if rounds else {w: embed._start_values([w.encode()], 0, 7)[0] / 2.0**31 - 1 for t in texts for w in t}
+        assert set(found) == set(want)
+        assert all(np.allclose(found[w], want[w], atol=1e-9) for w in want)
+
+
 def test_classifier_learns_a_separable_label(spark):
     from eventcast.operators.encode import assemble
 
