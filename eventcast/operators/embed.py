@@ -27,6 +27,7 @@ LONG_ROW = 96  # a word's weights in a tile beyond which they are added up in on
 START_BYTES = 32 << 20  # start vectors up to this size go through the rounds whole,
 START_SIZE = 25  # larger ones by so many components at a time
 HASHES = 1 << 13  # words hashed at a time
+PLAIN = {"compression": "none"}  # what is compressed already: another codec would hold each large value twice more
 BATCH_BYTES = "8m"  # what a round's tasks read at a time
 
 PLACE_BITS = 17  # of the place of a word in its block
@@ -198,7 +199,7 @@ def _files(df: DataFrame, *by: str) -> tuple[str, dict[tuple[int, ...], list[str
     """Writes ``df`` in files of their own per value of the columns ``by``; the folder, and the files per value."""
     spark = df.sparkSession
     path = new_path(spark, "stage")
-    df.withColumns({f"_{c}": F.col(c) for c in by}).write.partitionBy(*[f"_{c}" for c in by]).parquet(path)
+    df.withColumns({f"_{c}": F.col(c) for c in by}).write.options(**PLAIN).partitionBy(*[f"_{c}" for c in by]).parquet(path)
     found = defaultdict(list)
     for file in spark.read.schema(df.schema).parquet(path).inputFiles():
         found[tuple(int(re.search(rf"/_{c}=(\d+)/", file)[1]) for c in by)].append(file)
@@ -543,9 +544,9 @@ def fit_word_vectors(
     step = size if counts.words * size * 4 <= START_BYTES else START_SIZE
     current = []
     for first in range(0, size, step):
-        vectors = stage_table(_start_vectors(counts.blocks, first, min(step, size - first)))
+        vectors = stage_table(_start_vectors(counts.blocks, first, min(step, size - first)), **PLAIN)
         for k in range(1, rounds):
-            before, vectors = vectors, stage_table(_round(counts.parts([vectors]), counts.total, k == 1))
+            before, vectors = vectors, stage_table(_round(counts.parts([vectors]), counts.total, k == 1), **PLAIN)
             drop_table(before)
         current.append(vectors)
     found = _round(counts.parts(current, words=True), counts.total, rounds < 2, rounds, size)
